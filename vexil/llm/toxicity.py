@@ -29,12 +29,12 @@ class Ftrl:
     """max_rows bounds the labelled rows that the fit reads (about; chosen by a hash of the id)."""
 
     bits: int = 20
-    alpha: float = 0.2
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
+    l1: float = 5.0
+    l2: float = 0.0
     epochs: int = 3
-    max_rows: int = 16_000
+    max_rows: int = 20_000
 
 
 def features(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +86,7 @@ def train(labelled: DataFrame, how: Ftrl = Ftrl()) -> dict:
                 yield pa.RecordBatch.from_arrays([part["k"], part["doc_id"], part["toxic"].cast(pa.int32()), lists], ["k", "doc_id", "toxic", "at"])
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(int(y), np.append(a, 1 << bits)) for f in frames for y, a in zip(f["toxic"], f["at"])]
+        rows = [(int(y), np.append(a, np.int32(1 << bits)).astype(np.int32)) for f in frames for y, a in zip(f["toxic"], f["at"])]
         at, w, bias = _fit(rows, how)
         yield pd.DataFrame({"at": np.append(at, -1).astype(np.int64), "w": np.append(w, bias)})
 
@@ -97,10 +97,10 @@ def train(labelled: DataFrame, how: Ftrl = Ftrl()) -> dict:
     return {"bits": bits, "at": model["at"][real].to_numpy(), "w": model["w"][real].to_numpy(), "bias": float(model["w"][~real].sum()), "trained": len(model) > 0}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs: doc_id, text, and whatever else, of which all but the text stays. Adds score and predicted."""
+def score(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
+    """docs: doc_id, text, and whatever else, all of which stays (the text if asked for). Adds score and predicted, in place of columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("text", "score", "predicted")]
+    kept = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(p), pa.array(said.astype(np.int32))], [*kept, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.select(*kept, "text").mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, f"{schema}, score double, predicted int")
 
 
 def fold_of(doc_id: str = "doc_id") -> F.Column:
