@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from vexil.llm.shared import cut
 
 LEAST_CHARS = 10
-PIECES, PIECE_CHARS = 64, 256
+PIECES, PIECE_CHARS = 64, 16
 #: So many rows of three numbers may be sent to every task (24 MB); more are joined by a shuffle.
 SENT_ROWS = 1_000_000
 #: Characters that trimming takes off a line.
