@@ -6,8 +6,8 @@ all documents need their df, and there are at most (mean shingles per document)
 pass that counts hash buckets finds the few buckets that can hold them, a second pass counts their shingles exactly.
 
 Equal texts are one class from the start. Texts that share a band of samples are compared within the band's bucket, not in
-all pairs: the smallest member with all others, and then, as long as members outside the class of the bucket's smallest
-are left, up to PIVOTS of them with all members of other classes, after which these leave the bucket. At the end any two
+all pairs: the member that meets most texts with all others, and then, as long as members outside this one's class are left, up to PIVOTS of them with all members of other classes, after which these leave the bucket. Texts in large buckets
+that have too many shingles of their own to be similar to any other leave them first. At the end any two
 members of a bucket have been compared or are in one class, so that the classes are the connected components of all links
 that some bucket holds. With 12 bands of 3 samples a pair of similarity 0.8 meets with probability 0.9998.
 
@@ -31,9 +31,12 @@ from vexil.llm.ragged import doc_of, hash_words, mix, text_blocks
 from vexil.llm.shared import cut
 
 SHINGLE = 5
-COMMON = 0.01
+COMMON = 0.1
 BANDS, ROWS = 12, 3
 PIVOTS = 32
+#: Buckets of more members are first rid of texts that can have no partner.
+LARGE = 64
+MOST_CELL_BITS = 25
 _BUCKET_BITS = 20
 _SLICES = 64  # rows in which a task sends its bucket counts
 _IDS = np.uint64((1 << 48) - 1)
@@ -203,6 +206,55 @@ def _jaccard(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def without_partners(docs: DataFrame, ids: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Those of ids (doc_id) that no other of them can be similar to: too much of their weight is in shingles that none of the others has.
+
+    Counts go into a table of hash cells, of a size set by the ids up to 2**MOST_CELL_BITS; a cell that one text alone fills holds a shingle
+    of its own. Texts that meet in a cell by chance are kept, so a full table prunes less but never wrongly.
+    """
+    bits = min(MOST_CELL_BITS, max(_BUCKET_BITS, (ids.count() * 1024).bit_length()))
+    step = (1 << bits) // _SLICES
+    shift = np.uint64(48 - bits)
+    texts = cut(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.uint8)
+        for b in batches:
+            for i, j in _blocks(b["text"]):
+                at = np.sort((shingles(b["text"].slice(i, j - i))[0] >> shift).astype(np.int64))
+                again = at[1:][at[1:] == at[:-1]]
+                total[at] = np.minimum(total[at] + 1, 2)
+                total[again] = 2
+        blobs = [pa.compress(total[i : i + step].tobytes(), codec="zstd", asbytes=True) for i in range(0, 1 << bits, step)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
+
+    def once(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(step, np.uint8)
+        for x in pdf["blob"]:
+            total = np.minimum(total + np.frombuffer(pa.decompress(x, step, codec="zstd", asbytes=True), np.uint8), 2)
+        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(total == 1).tobytes()]})
+
+    rows = texts.select("text").mapInArrow(cells, "slice int, blob binary").groupBy("slice").applyInPandas(once, "slice int, bits binary").collect()  # 4 MB at most
+    flags = np.zeros((_SLICES, step // 8), np.uint8)
+    for r in rows:
+        flags[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    spark = docs.sparkSession
+    shared, weigh = spark.sparkContext.broadcast(flags), spark.sparkContext.broadcast(weights)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.unpackbits(shared.value.reshape(-1)).astype(bool)
+        for b in batches:
+            for i, j in _blocks(b["text"]):
+                part, count, ends, _ = shingles(b["text"].slice(i, j - i))
+                w = weigh.value(part, count)
+                row = doc_of(ends)
+                mine = np.bincount(row, np.where(own[(part >> shift).astype(np.int64)], w, 0), j - i)
+                full = np.bincount(row, w, j - i)
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i).filter(pa.array(mine > (1 - threshold + 1e-6) * full))], ["doc_id"])
+
+    return texts.mapInArrow(alone, "doc_id long").distinct()
+
+
 def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), n_links of the row's text to other texts; one row for each row of docs."""
     weights = common_shingles(docs)
@@ -211,24 +263,35 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # Equal words: one representative. Keys tell apart any texts whose hash is equal by chance.
     reps = cut(named.groupBy("whole", F.xxhash64("keys").alias("sig")).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
     members = reps.select("rep", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead")).where("n > 1")
-    open_ = cut(members.join(shared.select("bucket", "lead"), "bucket").distinct())
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_ = cut(members.join(shared, "bucket").distinct())
+    large = cut(open_.where(F.col("n") > LARGE).select(F.col("rep").alias("doc_id")).distinct())
+    open_ = open_.select("bucket", "rep")
+    if not large.isEmpty():
+        alone = without_partners(docs, large, weights, threshold)
+        open_ = open_.join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left_anti")
+    # The text that meets most others over all its buckets is likely to be the one that the others were made from.
+    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_ = cut(open_.join(sizes, "bucket"))
+    met = open_.groupBy("rep").agg(F.sum("n").alias("met"))
+    open_ = open_.select("bucket", "rep").join(met, "rep").select("bucket", "rep", F.struct(F.negate("met").alias("met"), "rep").alias("turn"))
+    open_ = cut(open_.join(open_.groupBy("bucket").agg(F.min("turn").alias("lead")).select("bucket", F.col("lead.rep").alias("lead")), "bucket"))
     links = classes = seen = None
     first = True
     while not open_.isEmpty():
         if first:
-            pairs = open_.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+            pairs = open_.where("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
         else:
-            with_class = cut(open_.join(classes, open_.rep == classes.id, "left").select("bucket", "rep", "lead", F.coalesce("class", "rep").alias("class")))
+            with_class = cut(open_.join(classes, open_.rep == classes.id, "left").select("bucket", "rep", "turn", "lead", F.coalesce("class", "rep").alias("class")))
             leads = with_class.where("rep = lead").select("bucket", F.col("class").alias("lead_class"))
             rest = with_class.join(leads, "bucket").where("class <> lead_class")
-            order = F.row_number().over(_by("bucket", "rep"))
-            pivots = cut(rest.withColumn("turn", order).where(F.col("turn") <= PIVOTS).select("bucket", F.col("rep").alias("pivot"), F.col("class").alias("pivot_class")))
+            order = F.row_number().over(_by("bucket", "turn"))
+            pivots = cut(rest.withColumn("place", order).where(F.col("place") <= PIVOTS).select("bucket", F.col("rep").alias("pivot"), F.col("class").alias("pivot_class")))
             if pivots.isEmpty():
                 break
             met = with_class.join(pivots, "bucket").where("class <> pivot_class")
             pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-            open_ = cut(with_class.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep", "lead"))
+            open_ = cut(with_class.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep", "turn", "lead"))
         pairs = pairs.distinct()
         pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         seen = pairs if seen is None else seen.unionByName(pairs)
