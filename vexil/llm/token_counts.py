@@ -137,7 +137,10 @@ class TextCounter:
         return [more + sum(map(self.known.__getitem__, pieces)) for more, pieces in zip(extra, split)]
 
 
-_counter = cache(TextCounter)  # one for each worker process and vocabulary
+@cache
+def _counter(vocabulary: str) -> TextCounter:
+    """One for each worker process and vocabulary."""
+    return TextCounter(vocabulary)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
