@@ -5,11 +5,18 @@ the text times 1 + log10(min(N / df, 1 / COMMON)), with df from all documents. S
 all documents need their df, and there are at most (mean shingles per document) / COMMON of these, however large N is: a
 pass that counts hash buckets finds the few buckets that can hold them, a second pass counts their shingles exactly.
 
-Equal texts are one class from the start. Texts that share a band of samples are compared within the band's bucket, not in
-all pairs: the member that meets most texts with all others, and then, as long as members outside this one's class are left, up to PIVOTS of them with all members of other classes, after which these leave the bucket. Texts in large buckets
-that have too many shingles of their own to be similar to any other leave them first. At the end any two
-members of a bucket have been compared or are in one class, so that the classes are the connected components of all links
-that some bucket holds. With 12 bands of 3 samples a pair of similarity 0.8 meets with probability 0.9998.
+Equal texts are one class from the start. Texts that share a band of samples are candidates, but the pairs of a bucket are not
+all made. Each bucket has a lead, the member that meets most texts, and a lead's group is all members of its buckets; a lead that is
+similar to the lead of a larger group with it in gives its group to that one. First the
+lead is compared with its whole group. What that leaves are pairs (x, y) of a group with x not linked to the lead L; a small
+group makes them all, a large one only those that share a difference from the lead. With d the weighted L1 distance and
+c = (1 - t) / (1 + t), texts are similar if d(x, y) <= c * (W(x) + W(y)), and d(x, y) is d(x, L) + d(y, L) less twice the weight of
+the differences from L that x and y share. As d(x, L) > c * (W(x) + W(L)), a similar pair shares more than
+(d(y, L) - c * (W(y) - W(L))) / 2 of y's differences. So y is entered under its differences, the rarest first, but for a tail of
+that weight, and x looks under all of its own. Where y's shingles but for a tail of less than t * W(y) cost less, y is entered
+under these. Both filters are exact: they leave out no similar pair of a group. Texts in large buckets that have too many shingles of
+their own to be similar to any other leave them first. The classes are the connected components of all links. With 12
+bands of 3 samples a pair of similarity 0.8 meets with probability 0.9998.
 
 Defined cases: null and empty texts, or texts without a word, are each a class of their own; a null doc_id is too;
 rows that share a doc_id are told apart by their words (their links are verified on the smaller text); ties go to the smallest doc_id; columns beside doc_id and text are not read.
@@ -23,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +41,11 @@ from vexil.llm.shared import cut
 SHINGLE = 5
 COMMON = 0.1
 BANDS, ROWS = 12, 3
-PIVOTS = 32
+#: Groups of more members compare only texts that share a difference from the lead.
+SMALL_GROUP = 16
+#: Names that more members have are of a higher level, and the later a text is entered under them.
+LEVELS = (1, 8, 64)
+_COSTS = np.array([0, 4, 30, 200])
 #: Buckets of more members are first rid of texts that can have no partner.
 LARGE = 64
 MOST_CELL_BITS = 25
@@ -179,76 +191,199 @@ def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, whole long, keys array<long>")
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) with text_a and text_b. A member that meets many others is split over tasks."""
+    named = texts.select("doc_id", "text").where("doc_id is not null")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    named = cut(named.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    left, right = (named.toDF(x, f"text_{x}") for x in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _weighed(batch: pa.RecordBatch, weights: Weights) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """Each row's number, and the shingles and weights of its two texts."""
+    for i, j in text_blocks(batch["text_b"], 1 << 17):
+        a, b = (shingles(batch[x].slice(i, j - i)) for x in ("text_a", "text_b"))
+        wa, wb = (weights(x[0], x[1]) for x in (a, b))
+        for k in range(j - i):
+            p, q = slice(a[2][k], a[2][k + 1]), slice(b[2][k], b[2][k + 1])
+            yield i + k, (a[0][p], wa[p]), (b[0][q], wb[q])
+
+
 def _jaccard(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """The rows of pairs (a, b) whose texts are similar enough. A member that meets many others is split over tasks."""
+    """The rows of pairs (a, b) whose texts are similar enough."""
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = np.zeros(len(batch), bool)
-            for i, j in text_blocks(batch["text_b"], 1 << 17):
-                a, b = (shingles(batch[x].slice(i, j - i)) for x in ("text_a", "text_b"))
-                wa, wb = (shared.value(x[0], x[1]) for x in (a, b))
-                for k in range(j - i):
-                    p, q = slice(a[2][k], a[2][k + 1]), slice(b[2][k], b[2][k + 1])
-                    at = np.searchsorted(b[0][q], a[0][p])
-                    at[at == len(b[0][q])] = 0
-                    same = b[0][q][at] == a[0][p]
-                    both = np.minimum(wa[p][same], wb[q][at[same]]).sum()
-                    kept[i + k] = both >= (threshold - 1e-9) * (wa[p].sum() + wb[q].sum() - both)
+            for k, (a, wa), (b, wb) in _weighed(batch, shared.value):
+                at = np.searchsorted(b, a)
+                at[at == len(b)] = 0
+                same = b[at] == a
+                both = np.minimum(wa[same], wb[at[same]]).sum()
+                kept[k] = both >= (threshold - 1e-9) * (wa.sum() + wb.sum() - both)
             rows = batch.filter(pa.array(kept))
             yield pa.RecordBatch.from_arrays([rows["a"], rows["b"]], ["a", "b"])
 
-    named = texts.select("doc_id", "text").where("doc_id is not null")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    named = cut(named.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    left, right = (named.toDF(x, f"text_{x}") for x in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def without_partners(docs: DataFrame, ids: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """Those of ids (doc_id) that no other of them can be similar to: too much of their weight is in shingles that none of the others has.
+def names(lead: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, that differ by salt, of a text's differences from its lead, these ones' weights, and hashes of its shingles."""
+    (l_ids, l_w), (ids, w) = lead, own
+    every, at = np.unique(np.concatenate([l_ids, ids]), return_inverse=True)
+    delta = np.bincount(at, np.concatenate([-l_w, w]), len(every))
+    seed = mix(np.array([salt], np.int64).view(np.uint64))
+    name = [mix(every ^ mix(seed + np.uint64(k))) for k in range(3)]
+    more, less = np.flatnonzero(delta > 0), np.flatnonzero(delta < 0)
+    return np.concatenate([name[0][more], name[1][less]]), np.abs(delta[np.concatenate([more, less])]), name[2][at[len(l_ids) :]]
 
-    Counts go into a table of hash cells, of a size set by the ids up to 2**MOST_CELL_BITS; a cell that one text alone fills holds a shingle
-    of its own. Texts that meet in a cell by chance are kept, so a full table prunes less but never wrongly.
+
+def entries(lead: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], threshold: float, salt: int, level) -> tuple[np.ndarray, np.ndarray]:
+    """The names that a text is entered under, and those that it looks under. level: how many members have a name, as a class; 0: one.
+
+    Of two similar texts of which one isn't similar to the lead, that one looks under a name that the other is entered under,
+    whatever the levels are, as long as a name that both have isn't on level 0.
     """
-    bits = min(MOST_CELL_BITS, max(_BUCKET_BITS, (ids.count() * 1024).bit_length()))
+    diff, diff_w, words = names(lead, own, salt)
+    total, l_total = own[1].sum(), lead[1].sum()
+    slack = 1e-12 * (total + l_total)
+    best, least = None, None
+    need = (diff_w.sum() - (1 - threshold) / (1 + threshold) * (total - l_total)) / 2
+    for name, w, tail in ((diff, diff_w, need + slack), (words, own[1], threshold * total - slack)):
+        # The rarest first: few others have them. The tail that a similar text can do without goes.
+        at = level(name)
+        order = np.argsort(at, kind="stable")
+        few = order[np.cumsum(w[order][::-1])[::-1] > tail]
+        cost = np.take(_COSTS, at[few]).sum()
+        if best is None or cost < least:
+            best, least = name[few][at[few] > 0], cost
+    every = np.concatenate([diff, words])
+    return best, every[level(every) > 0]
+
+
+def _cells(rows: DataFrame, bits: int, cells, above: tuple[int, ...]) -> np.ndarray:
+    """For each hash cell, how many of the counts in above (3 at most, each below 255) it exceeds: two bits a cell. cells(batch) gives arrays of cells."""
     step = (1 << bits) // _SLICES
-    shift = np.uint64(48 - bits)
-    texts = cut(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    most = max(above) + 1
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint8)
         for b in batches:
-            for i, j in _blocks(b["text"]):
-                at = np.sort((shingles(b["text"].slice(i, j - i))[0] >> shift).astype(np.int64))
-                again = at[1:][at[1:] == at[:-1]]
-                total[at] = np.minimum(total[at] + 1, 2)
-                total[again] = 2
+            for at in cells(b):
+                at, n = np.unique(at, return_counts=True)
+                total[at] = np.minimum(total[at] + n, most)
         blobs = [pa.compress(total[i : i + step].tobytes(), codec="zstd", asbytes=True) for i in range(0, 1 << bits, step)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
 
-    def once(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(step, np.uint8)
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(step, np.int16)
         for x in pdf["blob"]:
-            total = np.minimum(total + np.frombuffer(pa.decompress(x, step, codec="zstd", asbytes=True), np.uint8), 2)
-        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(total == 1).tobytes()]})
+            total = np.minimum(total + np.frombuffer(pa.decompress(x, step, codec="zstd", asbytes=True), np.uint8), most).astype(np.int16)
+        levels = sum((total > n).astype(np.uint8) for n in above).reshape(-1, 4)
+        return pd.DataFrame({"slice": [key[0]], "bits": [(levels << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8).tobytes()]})
+
+    out = np.zeros((_SLICES, step // 4), np.uint8)
+    for r in rows.mapInArrow(run, "slice int, blob binary").groupBy("slice").applyInPandas(add, "slice int, bits binary").collect():  # 8 MB at most
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _level(packed: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return packed[cell >> 2] >> (cell & 3).astype(np.uint8) * np.uint8(2) & np.uint8(3)
 
-    rows = texts.select("text").mapInArrow(cells, "slice int, blob binary").groupBy("slice").applyInPandas(once, "slice int, bits binary").collect()  # 4 MB at most
-    flags = np.zeros((_SLICES, step // 8), np.uint8)
-    for r in rows:
-        flags[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+
+def sharing_pairs(group: DataFrame, docs: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """a, b: all similar pairs of each lead's members of which one at least is marked apart, and few others. group: lead, rep, apart."""
     spark = docs.sparkSession
-    shared, weigh = spark.sparkContext.broadcast(flags), spark.sparkContext.broadcast(weights)
+    weigh = spark.sparkContext.broadcast(weights)
+    pairs = group.select(F.col("lead").alias("a"), F.col("rep").alias("b"), "apart")
+    pairs = cut(_with_texts(pairs, docs).select("a", "b", "apart", "text_a", "text_b"))
+    n = pairs.agg(F.sum(F.length("text_a") + F.length("text_b")).alias("n")).first()["n"] or 0
+    bits = min(MOST_CELL_BITS, max(_BUCKET_BITS, int(n).bit_length() + 1))
+    shift = np.uint64(64 - bits)
+
+    def cell(name: np.ndarray) -> np.ndarray:
+        return (name >> shift).astype(np.int64)
+
+    def all_names(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        leads = batch["a"].to_numpy()
+        for k, lead, own in _weighed(batch, weigh.value):
+            diff, _, words = names(lead, own, leads[k])
+            yield cell(np.concatenate([diff, words]))
+
+    often = spark.sparkContext.broadcast(_cells(pairs, bits, all_names, LEVELS))
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leads, apart = batch["a"].to_numpy(), batch["apart"].to_numpy(zero_copy_only=False)
+            total, entered, looked = [], [], []
+            for k, lead, own in _weighed(batch, weigh.value):
+                few, full = entries(lead, own, threshold, leads[k], lambda name: _level(often.value, cell(name)))
+                total.append(own[1].sum())
+                entered.append(few.view(np.int64))
+                looked.append(full.view(np.int64) if apart[k] else np.zeros(0, np.int64))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["b"], pa.array(total, pa.float64()), pa.array(entered, lists), pa.array(looked, lists)], ["rep", "weight", "entered", "looked"])
+
+    rows = cut(pairs.mapInArrow(differ, "rep long, weight double, entered array<long>, looked array<long>"))
+
+    def values_of(batch: pa.RecordBatch) -> np.ndarray:
+        return cell(batch["key"].flatten().to_numpy().view(np.uint64))
+
+    entered = rows.select("rep", "weight", F.col("entered").alias("key"))
+    known = spark.sparkContext.broadcast(_cells(entered, bits, lambda batch: [values_of(batch)], (0,)))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = pa.array(_level(known.value, values_of(batch)) > 0)
+            row = pc.list_parent_indices(batch["key"]).filter(hit)
+            yield pa.RecordBatch.from_arrays([batch["key"].flatten().filter(hit), batch["rep"].take(row), batch["weight"].take(row)], ["key", "rep", "weight"])
+
+    x, y = (t.mapInArrow(spread, "key long, rep long, weight double") for t in (rows.select("rep", "weight", F.col("looked").alias("key")), entered))
+    y = y.toDF("key", "other", "other_weight")
+    close = F.least("weight", "other_weight") >= (threshold - 1e-9) * F.greatest("weight", "other_weight")
+    return x.join(y, "key").where(close & (F.col("rep") != F.col("other"))).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+def linked_leads(groups: DataFrame, docs: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """groups (lead, rep), where a lead that is similar to the lead of a larger group that holds it gives its group to that one."""
+    sizes = cut(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n")))
+    inner = groups.join(sizes.select(F.col("lead").alias("rep"), F.col("n").alias("own")), "rep").join(sizes, "lead").where("n > own")
+    inner = cut(inner.select(F.col("lead").alias("a"), F.col("rep").alias("b"), "n"))
+    if inner.isEmpty():
+        return groups
+    similar = _jaccard(inner.select("a", "b"), docs, weights, threshold).join(inner, ["a", "b"])
+    taken = cut(similar.groupBy("b").agg(F.min(F.struct(F.negate("n").alias("n"), "a")).alias("by")).select(F.col("b").alias("lead"), F.col("by.a").alias("by")))
+    return cut(groups.join(taken, "lead", "left").select(F.coalesce("by", "lead").alias("lead"), "rep").where("rep <> lead").distinct())
+
+
+def without_partners(docs: DataFrame, ids: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Those of ids (doc_id) that no other of them can be similar to: too much of their weight is in shingles that none of the others has.
+
+    Counts go into a table of hash cells, of a size set by the ids up to 2**MOST_CELL_BITS; a cell that one text alone fills holds a shingle
+    of its own. Texts that meet in a cell by chance are kept, so a full table prunes less but never wrongly.
+    """
+    bits = min(MOST_CELL_BITS, max(_BUCKET_BITS, (ids.count() * 1024).bit_length()))
+    shift = np.uint64(48 - bits)
+    texts = cut(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+
+    def cells(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for i, j in _blocks(b["text"]):
+            yield (shingles(b["text"].slice(i, j - i))[0] >> shift).astype(np.int64)
+
+    levels = _cells(texts.select("text"), bits, cells, (1,))
+    spark = docs.sparkSession
+    shared, weigh = spark.sparkContext.broadcast(levels), spark.sparkContext.broadcast(weights)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.unpackbits(shared.value.reshape(-1)).astype(bool)
         for b in batches:
             for i, j in _blocks(b["text"]):
                 part, count, ends, _ = shingles(b["text"].slice(i, j - i))
                 w = weigh.value(part, count)
                 row = doc_of(ends)
-                mine = np.bincount(row, np.where(own[(part >> shift).astype(np.int64)], w, 0), j - i)
+                mine = np.bincount(row, np.where(_level(shared.value, (part >> shift).astype(np.int64)) == 0, w, 0), j - i)
                 full = np.bincount(row, w, j - i)
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i).filter(pa.array(mine > (1 - threshold + 1e-6) * full))], ["doc_id"])
 
@@ -276,29 +411,32 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     met = open_.groupBy("rep").agg(F.sum("n").alias("met"))
     open_ = open_.select("bucket", "rep").join(met, "rep").select("bucket", "rep", F.struct(F.negate("met").alias("met"), "rep").alias("turn"))
     open_ = cut(open_.join(open_.groupBy("bucket").agg(F.min("turn").alias("lead")).select("bucket", F.col("lead.rep").alias("lead")), "bucket"))
-    links = classes = seen = None
-    first = True
-    while not open_.isEmpty():
-        if first:
-            pairs = open_.where("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
-        else:
-            with_class = cut(open_.join(classes, open_.rep == classes.id, "left").select("bucket", "rep", "turn", "lead", F.coalesce("class", "rep").alias("class")))
-            leads = with_class.where("rep = lead").select("bucket", F.col("class").alias("lead_class"))
-            rest = with_class.join(leads, "bucket").where("class <> lead_class")
-            order = F.row_number().over(_by("bucket", "turn"))
-            pivots = cut(rest.withColumn("place", order).where(F.col("place") <= PIVOTS).select("bucket", F.col("rep").alias("pivot"), F.col("class").alias("pivot_class")))
-            if pivots.isEmpty():
-                break
-            met = with_class.join(pivots, "bucket").where("class <> pivot_class")
-            pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-            open_ = cut(with_class.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep", "turn", "lead"))
-        pairs = pairs.distinct()
-        pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        found = _jaccard(pairs, docs, weights, threshold)
-        links = cut(found if links is None else links.unionByName(found))
+    groups = cut(open_.where("rep <> lead").select("lead", "rep").distinct())
+    links = classes = None
+    if not groups.isEmpty():
+        groups = linked_leads(groups, docs, weights, threshold)
+        tried = cut(groups.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
+        links = cut(_jaccard(tried, docs, weights, threshold))
+        classes = components(links)
+        # Members outside their lead's class are apart.
+        own = classes.select(F.col("id").alias("rep"), F.col("class").alias("rep_class"))
+        leads = classes.select(F.col("id").alias("lead"), F.col("class").alias("lead_class"))
+        groups = groups.join(own, "rep", "left").join(leads, "lead", "left")
+        apart = F.coalesce("rep_class", "rep") != F.coalesce("lead_class", "lead")
+        groups = groups.select("lead", "rep", apart.alias("apart"))
+        sizes = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("any")).where("n > 1 and any").drop("any")
+        groups = cut(groups.join(sizes, "lead"))
+        small, large = groups.where(F.col("n") <= SMALL_GROUP), groups.where(F.col("n") > SMALL_GROUP)
+        others = small.select("lead", F.col("rep").alias("other"))
+        more = small.where("apart").join(others, "lead").where("rep <> other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+        if not large.isEmpty():
+            more = more.unionByName(sharing_pairs(large, docs, weights, threshold))
+        more = more.distinct().join(tried, ["a", "b"], "left_anti")
+        for x in ("a", "b"):
+            more = more.join(classes.select(F.col("id").alias(x), F.col("class").alias(f"class_{x}")), x, "left")
+        more = cut(more.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"))
+        links = cut(links.unionByName(_jaccard(more, docs, weights, threshold)))
         classes = components(links)
-        first = False
     base = signed.select("doc_id", "whole", F.xxhash64("keys").alias("sig"))
     if links is None:
         named_class = reps.select("whole", "sig", "rep", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
@@ -311,12 +449,6 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"))
 
 
-def _by(key: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
-
-
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that lead their class; all columns stay. Rows without a doc_id or without words all stay."""
     gone = near_classes(docs, threshold).where("doc_id <> class_id").select("doc_id")
