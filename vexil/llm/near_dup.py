@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from vexil.llm.components import components
 from vexil.llm.ragged import doc_of, hash_words, mix, text_blocks
-from vexil.llm.shared import cut
+from vexil.llm.shared import cut, tasks_for
 
 SHINGLE = 5
 COMMON = 0.1
@@ -192,11 +192,8 @@ def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with text_a and text_b. A member that meets many others is split over tasks."""
-    named = texts.select("doc_id", "text").where("doc_id is not null")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    named = cut(named.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    left, right = (named.toDF(x, f"text_{x}") for x in ("a", "b"))
+    """pairs (a, b) with text_a and text_b, from texts (doc_id, text). A member that meets many others is split over tasks."""
+    left, right = (texts.toDF(x, f"text_{x}") for x in ("a", "b"))
     return pairs.join(left, "a").join(right, "b")
 
 
@@ -294,12 +291,12 @@ def _level(packed: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return packed[cell >> 2] >> (cell & 3).astype(np.uint8) * np.uint8(2) & np.uint8(3)
 
 
-def sharing_pairs(group: DataFrame, docs: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+def sharing_pairs(group: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """a, b: all similar pairs of each lead's members of which one at least is marked apart, and few others. group: lead, rep, apart."""
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     weigh = spark.sparkContext.broadcast(weights)
     pairs = group.select(F.col("lead").alias("a"), F.col("rep").alias("b"), "apart")
-    pairs = cut(_with_texts(pairs, docs).select("a", "b", "apart", "text_a", "text_b"))
+    pairs = cut(_with_texts(pairs, texts).select("a", "b", "apart", "text_a", "text_b"))
     n = pairs.agg(F.sum(F.length("text_a") + F.length("text_b")).alias("n")).first()["n"] or 0
     bits = min(MOST_CELL_BITS, max(_BUCKET_BITS, int(n).bit_length() + 1))
     shift = np.uint64(64 - bits)
@@ -347,16 +344,17 @@ def sharing_pairs(group: DataFrame, docs: DataFrame, weights: Weights, threshold
     return x.join(y, "key").where(close & (F.col("rep") != F.col("other"))).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
-def linked_leads(groups: DataFrame, docs: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+def linked_leads(groups: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """groups (lead, rep), where a lead that is similar to the lead of a larger group that holds it gives its group to that one."""
-    sizes = cut(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n")))
+    size = groups.count()
+    sizes = cut(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n")), size)
     inner = groups.join(sizes.select(F.col("lead").alias("rep"), F.col("n").alias("own")), "rep").join(sizes, "lead").where("n > own")
-    inner = cut(inner.select(F.col("lead").alias("a"), F.col("rep").alias("b"), "n"))
+    inner = cut(inner.select(F.col("lead").alias("a"), F.col("rep").alias("b"), "n"), size)
     if inner.isEmpty():
         return groups
-    similar = _jaccard(inner.select("a", "b"), docs, weights, threshold).join(inner, ["a", "b"])
-    taken = cut(similar.groupBy("b").agg(F.min(F.struct(F.negate("n").alias("n"), "a")).alias("by")).select(F.col("b").alias("lead"), F.col("by.a").alias("by")))
-    return cut(groups.join(taken, "lead", "left").select(F.coalesce("by", "lead").alias("lead"), "rep").where("rep <> lead").distinct())
+    similar = _jaccard(inner.select("a", "b"), texts, weights, threshold).join(inner, ["a", "b"])
+    taken = cut(similar.groupBy("b").agg(F.min(F.struct(F.negate("n").alias("n"), "a")).alias("by")).select(F.col("b").alias("lead"), F.col("by.a").alias("by")), size)
+    return cut(groups.join(taken, "lead", "left").select(F.coalesce("by", "lead").alias("lead"), "rep").where("rep <> lead").coalesce(tasks_for(size)).distinct(), size)
 
 
 def without_partners(docs: DataFrame, ids: DataFrame, weights: Weights, threshold: float) -> DataFrame:
@@ -396,46 +394,55 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     signed = cut(signatures(docs, weights))
     named = signed.where("doc_id is not null and whole is not null")
     # Equal words: one representative. Keys tell apart any texts whose hash is equal by chance.
-    reps = cut(named.groupBy("whole", F.xxhash64("keys").alias("sig")).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    most = BANDS * signed.count()
+    reps = cut(named.groupBy("whole", F.xxhash64("keys").alias("sig")).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), most)
     members = reps.select("rep", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = cut(members.join(shared, "bucket").distinct())
-    large = cut(open_.where(F.col("n") > LARGE).select(F.col("rep").alias("doc_id")).distinct())
+    open_ = cut(members.join(shared, "bucket").distinct(), most)
+    n = open_.count()
+    open_ = open_.coalesce(tasks_for(n))
+    large = cut(open_.where(F.col("n") > LARGE).select(F.col("rep").alias("doc_id")).distinct(), n)
     open_ = open_.select("bucket", "rep")
     if not large.isEmpty():
-        alone = without_partners(docs, large, weights, threshold)
-        open_ = open_.join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left_anti")
+        alone = cut(without_partners(docs, large, weights, threshold), n)
+        open_ = open_.join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left_anti").coalesce(tasks_for(n))
     # The text that meets most others over all its buckets is likely to be the one that the others were made from.
     sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = cut(open_.join(sizes, "bucket"))
+    open_ = cut(open_.join(sizes, "bucket"), n)
     met = open_.groupBy("rep").agg(F.sum("n").alias("met"))
-    open_ = open_.select("bucket", "rep").join(met, "rep").select("bucket", "rep", F.struct(F.negate("met").alias("met"), "rep").alias("turn"))
-    open_ = cut(open_.join(open_.groupBy("bucket").agg(F.min("turn").alias("lead")).select("bucket", F.col("lead.rep").alias("lead")), "bucket"))
-    groups = cut(open_.where("rep <> lead").select("lead", "rep").distinct())
+    open_ = cut(open_.select("bucket", "rep").join(met, "rep").select("bucket", "rep", F.struct(F.negate("met").alias("met"), "rep").alias("turn")), n)
+    leads = open_.groupBy("bucket").agg(F.min("turn").alias("lead")).select("bucket", F.col("lead.rep").alias("lead"))
+    groups = cut(open_.join(leads, "bucket").where("rep <> lead").select("lead", "rep").coalesce(tasks_for(n)).distinct(), n)
     links = classes = None
     if not groups.isEmpty():
-        groups = linked_leads(groups, docs, weights, threshold)
-        tried = cut(groups.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
-        links = cut(_jaccard(tried, docs, weights, threshold))
+        used = groups.select(F.explode(F.array("lead", "rep")).alias("doc_id")).distinct()
+        texts = docs.select("doc_id", "text").where("doc_id is not null").join(used, "doc_id", "left_semi")
+        texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
+        groups = linked_leads(groups, texts, weights, threshold)
+        n = groups.count()
+        tried = cut(groups.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct(), n)
+        links = cut(_jaccard(tried, texts, weights, threshold))
         classes = components(links)
         # Members outside their lead's class are apart.
         own = classes.select(F.col("id").alias("rep"), F.col("class").alias("rep_class"))
         leads = classes.select(F.col("id").alias("lead"), F.col("class").alias("lead_class"))
-        groups = groups.join(own, "rep", "left").join(leads, "lead", "left")
+        groups = groups.join(own, "rep", "left").coalesce(tasks_for(n)).join(leads, "lead", "left")
         apart = F.coalesce("rep_class", "rep") != F.coalesce("lead_class", "lead")
-        groups = groups.select("lead", "rep", apart.alias("apart"))
+        groups = cut(groups.select("lead", "rep", apart.alias("apart")), n)
         sizes = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("any")).where("n > 1 and any").drop("any")
-        groups = cut(groups.join(sizes, "lead"))
+        groups = cut(groups.join(sizes, "lead"), n)
         small, large = groups.where(F.col("n") <= SMALL_GROUP), groups.where(F.col("n") > SMALL_GROUP)
         others = small.select("lead", F.col("rep").alias("other"))
         more = small.where("apart").join(others, "lead").where("rep <> other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
         if not large.isEmpty():
-            more = more.unionByName(sharing_pairs(large, docs, weights, threshold))
-        more = more.distinct().join(tried, ["a", "b"], "left_anti")
+            more = more.unionByName(sharing_pairs(large, texts, weights, threshold))
+        more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
+        n = more.count()
+        more = more.coalesce(tasks_for(n))
         for x in ("a", "b"):
-            more = more.join(classes.select(F.col("id").alias(x), F.col("class").alias(f"class_{x}")), x, "left")
-        more = cut(more.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"))
-        links = cut(links.unionByName(_jaccard(more, docs, weights, threshold)))
+            more = more.join(classes.select(F.col("id").alias(x), F.col("class").alias(f"class_{x}")), x, "left").coalesce(tasks_for(n))
+        more = cut(more.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"), n)
+        links = cut(links.unionByName(_jaccard(more, texts, weights, threshold)))
         classes = components(links)
     base = signed.select("doc_id", "whole", F.xxhash64("keys").alias("sig"))
     if links is None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no checkpoint folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+ROWS_A_TASK = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,10 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+def tasks_for(rows: int) -> int:
+    """How many tasks a table of narrow rows is worth."""
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation.
+
+    rows: about how many narrow rows df has at most; it is kept in as many parts as these are worth, not in one for each task.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(tasks_for(rows))).checkpoint(eager=True)
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
