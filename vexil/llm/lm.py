@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vexil.llm.elias_fano import EliasFano, encode, map_file, to_bytes
 from vexil.llm.ragged import BLANKS, doc_of, hash_words, mix, text_blocks
-from vexil.llm.shared import cut, local_path, new_folder, put_file, remove
+from vexil.llm.shared import cut, local_path, new_folder, put_file, remove, small_batches
 
 END = np.uint64(0xE7037ED1A0B428DB)  # stands for the hash of the end token
 DISCOUNT = 0.75
@@ -137,6 +137,7 @@ def _pairs(place: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
 def train(docs: DataFrame) -> Model:
     """docs: text. Writes the vocabulary and the trie to a new shared folder."""
     spark = docs.sparkSession
+    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     shards = max(1, -(-((size["b"] or 0) + size["n"]) // (24 << 20)))  # about 4 million tokens each
     folder = local_path(new_folder(spark, "lm"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from vexil.llm.components import components
 from vexil.llm.ragged import doc_of, hash_words, mix, text_blocks
-from vexil.llm.shared import cut, tasks_for
+from vexil.llm.shared import cut, small_batches, tasks_for
 
 SHINGLE = 5
 COMMON = 0.1
@@ -100,6 +100,7 @@ class Weights:
 
 def common_shingles(docs: DataFrame) -> Weights:
     """Exact document counts of the shingles in more than COMMON of all rows of docs (text)."""
+    small_batches(docs.sparkSession)
     n = docs.count()
     least = COMMON * n
     size = 1 << _BUCKET_BITS
@@ -199,7 +200,7 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _weighed(batch: pa.RecordBatch, weights: Weights) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
     """Each row's number, and the shingles and weights of its two texts."""
-    for i, j in text_blocks(batch["text_b"], 1 << 17):
+    for i, j in _blocks(batch["text_b"]):
         a, b = (shingles(batch[x].slice(i, j - i)) for x in ("text_a", "text_b"))
         wa, wb = (weights(x[0], x[1]) for x in (a, b))
         for k in range(j - i):

@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where the session names no checkpoint folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 ROWS_A_TASK = 50_000
+#: Bytes of a batch that goes to Python; as many as a block of texts has. Spark's own bound is ten times that.
+BATCH_BYTES = 6 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python by BATCH_BYTES, where the session leaves Spark's bound as it is."""
+    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +44,7 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     rows: about how many narrow rows df has at most; it is kept in as many parts as these are worth, not in one for each task.
     """
     shared_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return (df if rows is None else df.coalesce(tasks_for(rows))).checkpoint(eager=True)
 
 

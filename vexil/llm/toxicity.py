@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexil.llm.ragged import doc_of, hash_words, mix, text_blocks
+from vexil.llm.shared import small_batches
+
+_WORDS = 1 << 17  # of a block of texts: its features take some 30 MB
 
 
 @dataclass(frozen=True)
@@ -73,11 +76,12 @@ def _fit(rows: list[tuple[int, np.ndarray]], how: Ftrl) -> tuple[np.ndarray, np.
 
 def train(labelled: DataFrame, how: Ftrl = Ftrl()) -> dict:
     """labelled: doc_id, text, toxic. One task runs the sequential updates over the bounded sample, in an order set by a hash of the id."""
-    spark, bits = labelled.sparkSession, how.bits
+    bits = how.bits
+    small_batches(labelled.sparkSession)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in text_blocks(b["text"]):
+            for i, j in text_blocks(b["text"], _WORDS):
                 part = b.slice(i, j - i)
                 row, at = features(part["text"], bits)
                 key = np.unique(row << bits | at)
@@ -99,6 +103,7 @@ def train(labelled: DataFrame, how: Ftrl = Ftrl()) -> dict:
 
 def score(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
     """docs: doc_id, text, and whatever else, all of which stays (the text if asked for). Adds score and predicted, in place of columns of these names."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != "text")]
 
@@ -109,7 +114,7 @@ def score(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
         used = dense != 0
         for b in batches:
             out = np.full(len(b), m["bias"])
-            for i, j in text_blocks(b["text"]):
+            for i, j in text_blocks(b["text"], _WORDS):
                 row, at = features(b["text"].slice(i, j - i), m["bits"])
                 hit = used[at]
                 key = np.unique(row[hit] << m["bits"] | at[hit])

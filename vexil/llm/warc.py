@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexil.llm.shared import local_path, new_folder, put_file
+from vexil.llm.shared import local_path, new_folder, put_file, small_batches
 
 _FILE_BYTES = 16 << 20
 #: The WARC 1.1 profile for payloads that were met before.
@@ -86,6 +86,7 @@ def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, least_bytes: int = 0) -> str:
     """Writes all records and gives the folder's URI. Files hold about 16 MB; a task that runs again writes new names and only the names returned count."""
+    small_batches(pages.sparkSession)
     folder = new_folder(pages.sparkSession, "warc")
     path = local_path(folder)
 
