@@ -5,7 +5,7 @@ the text times 1 + log10(min(N / df, 1 / COMMON)), with df from all documents. S
 all documents need their df, and there are at most (mean shingles per document) / COMMON of these, however large N is: a
 pass that counts hash buckets finds the few buckets that can hold them, a second pass counts their shingles exactly.
 
-Equal texts are one class from the start. Texts that share a band of samples are candidates, but the pairs of a bucket are not
+Equal texts are one class from the start. Texts that share a band of samples, and are of a like weight, are candidates, but the pairs of a bucket are not
 all made. Each bucket has a lead, the member that meets most texts, and a lead's group is all members of its buckets; a lead that is
 similar to the lead of a larger group with it in gives its group to that one. First the
 lead is compared with its whole group. What that leaves are pairs (x, y) of a group with x not linked to the lead L; a small
@@ -13,8 +13,10 @@ group makes them all, a large one only those that share a difference from the le
 c = (1 - t) / (1 + t), texts are similar if d(x, y) <= c * (W(x) + W(y)), and d(x, y) is d(x, L) + d(y, L) less twice the weight of
 the differences from L that x and y share. As d(x, L) > c * (W(x) + W(L)), a similar pair shares more than
 (d(y, L) - c * (W(y) - W(L))) / 2 of y's differences. So y is entered under its differences, the rarest first, but for a tail of
-that weight, and x looks under all of its own. Where y's shingles but for a tail of less than t * W(y) cost less, y is entered
-under these. Both filters are exact: they leave out no similar pair of a group. Texts in large buckets that have too many shingles of
+that weight, and x looks under its own but for a tail of d(x, L) - c * (1 + 1 / t) * W(x), which a similar pair shares at least as d is a
+metric and W(y) <= W(x) / t. Where y's shingles but for a tail of less than t * W(y) cost less, y is entered
+under these; x looks under its own but for such a tail too. All texts sort names alike, so the first name that a pair shares is in neither
+tail. Both filters are exact: they leave out no similar pair of a group. Texts in large buckets that have too many shingles of
 their own to be similar to any other leave them first. The classes are the connected components of all links. With 12
 bands of 3 samples a pair of similarity 0.8 meets with probability 0.9998.
 
@@ -44,11 +46,11 @@ BANDS, ROWS = 12, 3
 #: Groups of more members compare only texts that share a difference from the lead.
 SMALL_GROUP = 16
 #: Names that more members have are of a higher level, and the later a text is entered under them.
-LEVELS = (1, 8, 64)
-_COSTS = np.array([0, 4, 30, 200])
+LEVELS = tuple(1 << k for k in range(15))
+_COSTS = np.array([0, *(2 << k for k in range(15))])
 #: Buckets of more members are first rid of texts that can have no partner.
 LARGE = 64
-MOST_CELL_BITS = 25
+MOST_CELL_BITS = 24
 _BUCKET_BITS = 20
 _SLICES = 64  # rows in which a task sends its bucket counts
 _IDS = np.uint64((1 << 48) - 1)
@@ -175,21 +177,22 @@ def samples(ids: np.ndarray, weight: np.ndarray, ends: np.ndarray, k: int) -> np
 
 
 def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, whole (hash of all words; null: no words), keys (one hash for each band)."""
+    """doc_id, whole (hash of all words; null: no words), weight (of all shingles), keys (one hash for each band)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in _blocks(b["text"]):
                 ids, count, ends, whole = shingles(b["text"].slice(i, j - i))
-                drawn = samples(ids, shared.value(ids, count), ends, bands * rows)
+                w = shared.value(ids, count)
+                drawn = samples(ids, w, ends, bands * rows)
                 keys = np.zeros((bands, j - i), np.uint64)
                 for s in range(bands * rows):
                     keys[s // rows] = mix(keys[s // rows] * np.uint64(0x9E6C63D0876A9A47) + drawn[s] + np.uint64(s))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.T.reshape(-1).astype(np.int64)), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(whole.astype(np.int64), mask=whole == 0), lists], ["doc_id", "whole", "keys"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(whole.astype(np.int64), mask=whole == 0), pa.array(np.bincount(doc_of(ends), w, j - i)), lists], ["doc_id", "whole", "weight", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, whole long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, whole long, weight double, keys array<long>")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,35 +242,38 @@ def names(lead: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray
 
 
 def entries(lead: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], threshold: float, salt: int, level) -> tuple[np.ndarray, np.ndarray]:
-    """The names that a text is entered under, and those that it looks under. level: how many members have a name, as a class; 0: one.
+    """The names that a text is entered under, and those that it looks under if it isn't similar to the lead. level: how many members have a name, as a class; 0: one.
 
     Of two similar texts of which one isn't similar to the lead, that one looks under a name that the other is entered under,
-    whatever the levels are, as long as a name that both have isn't on level 0.
+    whatever the levels are, as long as a name that both have isn't on level 0: all texts put names in one order (level, name), the first name that
+    two similar texts share can't be in either one's tail, as all that they share would then be in it.
     """
     diff, diff_w, words = names(lead, own, salt)
-    total, l_total = own[1].sum(), lead[1].sum()
-    slack = 1e-12 * (total + l_total)
-    best, least = None, None
-    need = (diff_w.sum() - (1 - threshold) / (1 + threshold) * (total - l_total)) / 2
-    for name, w, tail in ((diff, diff_w, need + slack), (words, own[1], threshold * total - slack)):
-        # The rarest first: few others have them. The tail that a similar text can do without goes.
+    total, l_total, far = own[1].sum(), lead[1].sum(), diff_w.sum()
+    threshold -= 1e-9  # as _jaccard has it
+    slack, c = 1e-12 * (total + l_total), (1 - threshold) / (1 + threshold)
+    # A similar text shares more than this if the one here is entered (so a tail of just that goes too), and at least this if it looks.
+    entered, looking = (far - c * (total - l_total)) / 2 + slack, far - c * (1 + 1 / threshold) * total - slack
+    best, least, looked = None, None, []
+    for name, w, tail, other_tail in ((diff, diff_w, entered, looking), (words, own[1], threshold * total - slack, threshold * total - slack)):
         at = level(name)
-        order = np.argsort(at, kind="stable")
-        few = order[np.cumsum(w[order][::-1])[::-1] > tail]
+        order = np.lexsort((name, at))  # the rarest first: few others have them
+        left = np.cumsum(w[order][::-1])[::-1]
+        few, more = order[left > tail], order[left > other_tail]
         cost = np.take(_COSTS, at[few]).sum()
         if best is None or cost < least:
             best, least = name[few][at[few] > 0], cost
-    every = np.concatenate([diff, words])
-    return best, every[level(every) > 0]
+        looked.append(name[more][at[more] > 0])
+    return best, np.concatenate(looked)
 
 
 def _cells(rows: DataFrame, bits: int, cells, above: tuple[int, ...]) -> np.ndarray:
-    """For each hash cell, how many of the counts in above (3 at most, each below 255) it exceeds: two bits a cell. cells(batch) gives arrays of cells."""
+    """For each hash cell, how many of the counts in above (15 at most, each below 65535) it exceeds: four bits a cell. cells(batch) gives arrays of cells."""
     step = (1 << bits) // _SLICES
     most = max(above) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint8)
+        total = np.zeros(1 << bits, np.uint16)
         for b in batches:
             for at in cells(b):
                 at, n = np.unique(at, return_counts=True)
@@ -276,20 +282,20 @@ def _cells(rows: DataFrame, bits: int, cells, above: tuple[int, ...]) -> np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(step, np.int16)
+        total = np.zeros(step, np.int32)
         for x in pdf["blob"]:
-            total = np.minimum(total + np.frombuffer(pa.decompress(x, step, codec="zstd", asbytes=True), np.uint8), most).astype(np.int16)
-        levels = sum((total > n).astype(np.uint8) for n in above).reshape(-1, 4)
-        return pd.DataFrame({"slice": [key[0]], "bits": [(levels << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8).tobytes()]})
+            total = np.minimum(total + np.frombuffer(pa.decompress(x, 2 * step, codec="zstd", asbytes=True), np.uint16), most)
+        levels = sum((total > n).astype(np.uint8) for n in above).reshape(-1, 2)
+        return pd.DataFrame({"slice": [key[0]], "bits": [(levels[:, 0] | levels[:, 1] << 4).astype(np.uint8).tobytes()]})
 
-    out = np.zeros((_SLICES, step // 4), np.uint8)
+    out = np.zeros((_SLICES, step // 2), np.uint8)
     for r in rows.mapInArrow(run, "slice int, blob binary").groupBy("slice").applyInPandas(add, "slice int, bits binary").collect():  # 8 MB at most
         out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
 
 def _level(packed: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    return packed[cell >> 2] >> (cell & 3).astype(np.uint8) * np.uint8(2) & np.uint8(3)
+    return packed[cell >> 1] >> (cell & 1).astype(np.uint8) * np.uint8(4) & np.uint8(15)
 
 
 def sharing_pairs(group: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
@@ -396,17 +402,21 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     named = signed.where("doc_id is not null and whole is not null")
     # Equal words: one representative. Keys tell apart any texts whose hash is equal by chance.
     most = BANDS * signed.count()
-    reps = cut(named.groupBy("whole", F.xxhash64("keys").alias("sig")).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), most)
-    members = reps.select("rep", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep")
+    reps = cut(named.groupBy("whole", F.xxhash64("keys").alias("sig")).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("weight").alias("weight")), most)
+    members = reps.select("rep", "weight", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep", "weight")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     open_ = cut(members.join(shared, "bucket").distinct(), most)
     n = open_.count()
     open_ = open_.coalesce(tasks_for(n))
     large = cut(open_.where(F.col("n") > LARGE).select(F.col("rep").alias("doc_id")).distinct(), n)
-    open_ = open_.select("bucket", "rep")
+    open_ = open_.select("bucket", "rep", "weight")
     if not large.isEmpty():
         alone = cut(without_partners(docs, large, weights, threshold), n)
         open_ = open_.join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left_anti").coalesce(tasks_for(n))
+    # Similar texts are of equal or neighbouring classes of weight, so each bucket falls into parts whose members differ less from their lead.
+    size_class = F.floor(F.log("weight") / -math.log(threshold - 1e-6)).cast("long")
+    open_ = open_.withColumn("size", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("bucket", "size").alias("bucket"), "rep")
+    n *= 2
     # The text that meets most others over all its buckets is likely to be the one that the others were made from.
     sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     open_ = cut(open_.join(sizes, "bucket"), n)
