@@ -190,7 +190,7 @@ def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int
                 for s in range(bands * rows):
                     keys[s // rows] = mix(keys[s // rows] * np.uint64(0x9E6C63D0876A9A47) + drawn[s] + np.uint64(s))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.T.reshape(-1).astype(np.int64)), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(whole.astype(np.int64), mask=whole == 0), pa.array(np.bincount(doc_of(ends), w, j - i)), lists], ["doc_id", "whole", "weight", "keys"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(whole.astype(np.int64), mask=whole == 0), pa.array(np.bincount(doc_of(ends), w, j - i).astype(np.float64)), lists], ["doc_id", "whole", "weight", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, whole long, weight double, keys array<long>")
 
