@@ -17,7 +17,7 @@ that weight, and x looks under its own but for a tail of d(x, L) - c * (1 + 1 /
 metric and W(y) <= W(x) / t. Where y's shingles but for a tail of less than t * W(y) cost less, y is entered
 under these; x looks under its own but for such a tail too. All texts sort names alike, so the first name that a pair shares is in neither
 tail. Both filters are exact: they leave out no similar pair of a group. Texts in large buckets that have too many shingles of
-their own to be similar to any other leave them first. The classes are the connected components of all links. With 12
+their own to be similar to any other text of such buckets leave these first, and keep their small ones. The classes are the connected components of all links. With 12
 bands of 3 samples a pair of similarity 0.8 meets with probability 0.9998.
 
 Defined cases: null and empty texts, or texts without a word, are each a class of their own; a null doc_id is too;
@@ -409,10 +409,12 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     n = open_.count()
     open_ = open_.coalesce(tasks_for(n))
     large = cut(open_.where(F.col("n") > LARGE).select(F.col("rep").alias("doc_id")).distinct(), n)
-    open_ = open_.select("bucket", "rep", "weight")
     if not large.isEmpty():
         alone = cut(without_partners(docs, large, weights, threshold), n)
-        open_ = open_.join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left_anti").coalesce(tasks_for(n))
+        # They were only held against texts of large buckets: their small ones stay.
+        alone = alone.select(F.col("doc_id").alias("rep"), F.lit(True).alias("alone"))
+        open_ = open_.join(alone, "rep", "left").where((F.col("n") <= LARGE) | F.col("alone").isNull()).coalesce(tasks_for(n))
+    open_ = open_.select("bucket", "rep", "weight")
     # Similar texts are of equal or neighbouring classes of weight, so each bucket falls into parts whose members differ less from their lead.
     size_class = F.floor(F.log("weight") / -math.log(threshold - 1e-6)).cast("long")
     open_ = open_.withColumn("size", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("bucket", "size").alias("bucket"), "rep")
