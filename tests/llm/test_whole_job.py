@@ -36,3 +36,28 @@ def test_copies_whose_large_buckets_differ(spark):
     close = [(i, j) for i, j in pairs if _similar(texts, weights, i, j)]
     assert len(close) > 100
     assert [(i, j) for i, j in close if got[i] != got[j]] == []
+
+
+def test_chain_of_leads_keeps_groups_together(spark):
+    rng = random.Random(6)
+    versions = [[f"v{i}" for i in range(200)]]
+    for k in range(5):
+        words = list(versions[-1])
+        for at in rng.sample(range(5, 195), 3):
+            words[at] = f"n{k}x{at}"
+        versions.append(words)
+    texts = [" ".join(x) for x in versions]
+    # Versions 0, 1 and 2 lead ever smaller groups, and each is in the group before.
+    groups = [(0, 1), *((0, i) for i in range(100, 106)), (1, 2), *((1, i) for i in range(200, 204)), (2, 3), (2, 4)]
+    every = {x: texts[x] if x < len(texts) else f"text {x} of other words" for g in groups for x in g}
+    weights = near_dup.Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1000)
+    assert _similar(texts, weights, 0, 1) and _similar(texts, weights, 1, 2) and not _similar(texts, weights, 0, 2)
+    docs = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    out = near_dup.linked_leads(spark.createDataFrame(groups, "lead long, rep long"), docs, weights, 0.8)
+    members = {}
+    for r in out.collect():
+        members.setdefault(r["lead"], {r["lead"]}).add(r["rep"])
+    for lead in (0, 1, 2):
+        old = {lead, *(b for a, b in groups if a == lead)}
+        assert any(old <= new for new in members.values()), lead
+    assert 1 not in members

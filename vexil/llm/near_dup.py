@@ -7,7 +7,7 @@ pass that counts hash buckets finds the few buckets that can hold them, a second
 
 Equal texts are one class from the start. Texts that share a band of samples, and are of a like weight, are candidates, but the pairs of a bucket are not
 all made. Each bucket has a lead, the member that meets most texts, and a lead's group is all members of its buckets; a lead that is
-similar to the lead of a larger group with it in gives its group to that one. First the
+similar to the lead of a larger group with it in gives its group to that one, if that one keeps its own. First the
 lead is compared with its whole group. What that leaves are pairs (x, y) of a group with x not linked to the lead L; a small
 group makes them all, a large one only those that share a difference from the lead. With d the weighted L1 distance and
 c = (1 - t) / (1 + t), texts are similar if d(x, y) <= c * (W(x) + W(y)), and d(x, y) is d(x, L) + d(y, L) less twice the weight of
@@ -352,7 +352,7 @@ def sharing_pairs(group: DataFrame, texts: DataFrame, weights: Weights, threshol
 
 
 def linked_leads(groups: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """groups (lead, rep), where a lead that is similar to the lead of a larger group that holds it gives its group to that one."""
+    """groups (lead, rep), where a lead that is similar to the lead of a larger group that holds it, and that keeps its own group, gives its group to that one."""
     size = groups.count()
     sizes = cut(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n")), size)
     inner = groups.join(sizes.select(F.col("lead").alias("rep"), F.col("n").alias("own")), "rep").join(sizes, "lead").where("n > own")
@@ -360,6 +360,10 @@ def linked_leads(groups: DataFrame, texts: DataFrame, weights: Weights, threshol
     if inner.isEmpty():
         return groups
     similar = _jaccard(inner.select("a", "b"), texts, weights, threshold).join(inner, ["a", "b"])
+    similar = cut(similar, size)
+    # A lead that gives its group away is in none of its own name any more: others would lose sight of their lead there.
+    given = similar.select(F.col("b").alias("a")).distinct()
+    similar = similar.join(given, "a", "left_anti")
     taken = cut(similar.groupBy("b").agg(F.min(F.struct(F.negate("n").alias("n"), "a")).alias("by")).select(F.col("b").alias("lead"), F.col("by.a").alias("by")), size)
     return cut(groups.join(taken, "lead", "left").select(F.coalesce("by", "lead").alias("lead"), "rep").where("rep <> lead").coalesce(tasks_for(size)).distinct(), size)
 
