@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from vexil.llm import near_dup
+from vexil.llm import line_dedup, near_dup
 
 
 def _similar(texts: list[str], weights: near_dup.Weights, i: int, j: int) -> bool:
@@ -61,3 +61,25 @@ def test_chain_of_leads_keeps_groups_together(spark):
         old = {lead, *(b for a, b in groups if a == lead)}
         assert any(old <= new for new in members.values()), lead
     assert 1 not in members
+
+
+def _within_one(a: str, b: str) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return len(b) - len(a) <= 1 and a[same + (len(a) == len(b)) :] == b[same + 1 :]
+
+
+def test_lines_of_neighbouring_lengths(spark):
+    rng = random.Random(7)
+    lines = []
+    for n in range(10, 71):
+        for at in (0, n // 2, n, rng.randrange(n)):
+            shorter = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+            pair = [shorter, shorter[:at] + "7" + shorter[at:]]
+            lines += pair[:: rng.choice((1, -1))]
+    want = {i for i, x in enumerate(lines) if not any(_within_one(x, y) for y in lines[:i])}
+    assert len(want) == len(lines) // 2
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs).where("n_kept = 1").select("doc_id").collect()
+    assert {r["doc_id"] for r in got} == want

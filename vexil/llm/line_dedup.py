@@ -77,7 +77,9 @@ def close_texts(docs: DataFrame, first: DataFrame) -> DataFrame:
 def variants(some: DataFrame) -> DataFrame:
     """at, place (0: nothing left out), variant (hashed key) of all lines of some (at, text, n)."""
     short = some.where(F.col("n") <= 2 * PIECE_CHARS).select("at", F.lit(0).cast("long").alias("rest"), F.col("text").alias("piece"))
-    long = some.where(F.col("n") > 2 * PIECE_CHARS).withColumn("longer", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("m", F.col("n") - F.col("longer"))
+    # The longest of the short lines are also cut as the shorter ones of pairs, to meet those one character longer.
+    roles = F.when(F.col("n") > 2 * PIECE_CHARS, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    long = some.where(F.col("n") >= 2 * PIECE_CHARS).withColumn("longer", F.explode(roles)).withColumn("m", F.col("n") - F.col("longer"))
     long = long.withColumn("pieces", F.least(F.lit(PIECES), F.ceil(F.col("m") / PIECE_CHARS)).cast("long"))
     long = long.withColumn("j", F.explode(F.expr("sequence(0L, pieces - 1)")))
     long = long.withColumns({"start": F.expr("cast(j * m div pieces as int)"), "tail": F.expr("cast(m - (j + 1) * m div pieces as int)")})
