@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from vexil.llm import line_dedup, near_dup
+from vexil.llm import line_dedup, mixing, near_dup
 
 
 def _similar(texts: list[str], weights: near_dup.Weights, i: int, j: int) -> bool:
@@ -83,3 +86,22 @@ def test_lines_of_neighbouring_lengths(spark):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = line_dedup.dedup_lines(docs).where("n_kept = 1").select("doc_id").collect()
     assert {r["doc_id"] for r in got} == want
+
+
+def test_mix_of_twenty_skewed_sources(spark):
+    counts = [60_000, *(1000 + 250 * k for k in range(19))]
+    weights = {f"s{k}": 0.5 if k == 0 else 0.5 * (k + 1) / 209 for k in range(20)}
+    total = sum(map(Fraction, weights.values()))
+    ids = spark.createDataFrame([(f"s{k}", n) for k, n in enumerate(counts)], "source string, n long")
+    docs = ids.select("source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select(F.xxhash64("source", "i").alias("doc_id"), "source")
+    out = mixing.mix_sources(docs, weights, block=2, period=20)
+    assert out.count() == sum(counts)
+    rows = out.select("slot", "source", "release", "deadline", "in_mix").distinct().collect()
+    assert len({r["slot"] for r in rows}) == len(rows) == sum(-(-n // 2) for n in counts)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    dealt = [r["source"] for r in sorted(rows, key=lambda r: r["slot"]) if r["in_mix"]]
+    assert len(dealt) > 5000
+    got = Counter()
+    for k, source in enumerate(dealt, 1):
+        got[source] += 1
+        assert all(abs(got[x] - Fraction(w) / total * k) < 1 for x, w in weights.items())

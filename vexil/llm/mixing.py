@@ -3,8 +3,8 @@
 Every source's documents, in an order set by a hash of their ids, are cut into blocks. Block i (from 0) of a source with weight
 w is released at slot floor(i / w) and due by slot ceil((i + 1) / w); each slot goes to the released block with the
 earliest deadline, so that after any number of slots every source has had its share up to less than one block. Weights are
-whole multiples of 1 / period, so the schedule repeats after `period` slots and one period of it (a table of fixed size) places
-any number of blocks. A source that runs out leaves its slots empty: all documents stay, and up to `horizon`, where the
+taken as the exact fractions that they are, over the whole run: one task deals all blocks, holding one block of each
+source at a time. A source that runs out leaves its slots empty: all documents stay, and up to `horizon`, where the
 first source ends, the mix is exact (in_mix).
 
 Defined cases: a null source is a source of its own; null ids and repeated rows get places of their own, in any order
@@ -15,56 +15,77 @@ raise ValueError; sources without documents count for nothing.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vexil.llm.shared import cut
 
 BLOCK = 64
 PERIOD = 1000
 #: More sources than this can't be scheduled on the driver.
 MOST_SOURCES = 100_000
-_ROWS = 50_000  # wished for in a bucket of the order
+#: A schedule of so many blocks may be sent to every task; a longer one is joined by a shuffle.
+SENT_BLOCKS = 1_000_000
+_ROWS = 50_000  # wished for in a bucket of the order, and in a batch of the schedule
+_NAMES, _TYPES = ("__k", "__block", "__r", "__d", "__slot", "__ends"), (pa.int32(), *[pa.int64()] * 4, pa.bool_())
 
 
-def shares(weights: dict[str | None, float], period: int) -> dict[str | None, int]:
-    """Slots of each source in a period: at least one, by largest remainder; ties go to the smaller name."""
+def ratios(weights: dict[str | None, float]) -> tuple[list[str | None], list[int], int]:
+    """Names in order (null first), and whole numbers in the exact ratio of their weights, with their sum."""
     if any(not w > 0 or math.isinf(w) for w in weights.values()):
         raise ValueError("weights must be positive")
     names = sorted(weights, key=lambda x: (x is not None, x))
-    total = sum(Fraction(weights[x]) for x in names)
-    exact = {x: Fraction(weights[x]) / total * (period - len(names)) for x in names}
-    out = {x: 1 + math.floor(exact[x]) for x in names}
-    for x in sorted(names, key=lambda x: (math.floor(exact[x]) - exact[x], names.index(x)))[: period - sum(out.values())]:
-        out[x] += 1
-    return out
-
-
-def schedule(slots: dict[str | None, int], period: int) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of every block of one period, by earliest deadline among the released."""
-    names = sorted(slots, key=lambda x: (x is not None, x))
-    release = lambda x, i: i * period // slots[x]
-    due = lambda x, i: -(-(i + 1) * period // slots[x])
-    waiting = [(0, k, 0) for k in range(len(names))]
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
+    parts = [Fraction(weights[x]) for x in names]
+    scale = math.lcm(*(x.denominator for x in parts))
+    whole = [x.numerator * (scale // x.denominator) for x in parts]
+    return names, whole, sum(whole)
+
+
+def schedule(parts: list[int], total: int, blocks: list[int]) -> Iterator[tuple[int, int, int, int, int, bool]]:
+    """(source, block, release, deadline, slot, whether it is the source's last) of all blocks, by earliest deadline among the released; ties go to the first source.
+
+    Sources that have ended only leave slots to the others, so no deadline is missed without them.
+    """
+    waiting = [(0, k, 0) for k in range(len(parts))]
+    ready: list[tuple[int, int, int, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(names[k], i), k, i))
-        deadline, k, i = heapq.heappop(ready)
-        out.append((names[k], i, release(names[k], i), deadline, slot))
-        if i + 1 < slots[names[k]]:
-            heapq.heappush(waiting, (release(names[k], i + 1), k, i + 1))
-    return out
+            release, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // parts[k]), k, i, release))
+        deadline, k, i, release = heapq.heappop(ready)
+        yield k, i, release, deadline, slot, i + 1 == blocks[k]
+        if i + 1 < blocks[k]:
+            heapq.heappush(waiting, ((i + 1) * total // parts[k], k, i + 1))
+        slot += 1
+
+
+def _plan(spark: SparkSession, parts: list[int], total: int, blocks: list[int]) -> DataFrame:
+    """The schedule as rows; dealt in one task, as each slot depends on those before."""
+    shared = spark.sparkContext.broadcast((parts, total, blocks))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            dealt = schedule(*shared.value)
+            while rows := list(itertools.islice(dealt, _ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], list(_NAMES))
+
+    return spark.range(1, numPartitions=1).mapInArrow(deal, "__k int, __block long, __r long, __d long, __slot long, __ends boolean")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """Adds block, release, deadline, slot, place (within the block) and in_mix to all rows of docs (doc_id, source, ...); read in the order (slot, place).
 
     weights: by source; by default the square root of each source's documents. Columns of the added names are replaced.
+    period: not needed any more, as no weight is rounded; kept for callers.
     """
     spark = docs.sparkSession
     added = ("block", "release", "deadline", "slot", "place", "in_mix")
@@ -80,16 +101,16 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         weights = {x: math.sqrt(n) for x, n in counts.items()}
     if missing := [x for x in counts if x not in weights]:
         raise ValueError(f"no weight for {missing[:5]}")
-    period = max(period, 10 * len(counts))
-    slots = shares({x: weights[x] for x in counts}, period)
-    table = schedule(slots, period)
+    names, parts, total = ratios({x: weights[x] for x in counts})
+    blocks = [-(-counts[x] // block) for x in names]
+    if any(n * total // p >= 1 << 63 for n, p in zip(blocks, parts, strict=True)):
+        raise ValueError("weights are too far apart")
+    plan = cut(_plan(spark, parts, total, blocks))
     # The slot after that of the first last block of a source.
-    last = {x: -(-n // block) - 1 for x, n in counts.items()}
-    at = {(x, i): slot for x, i, _, _, slot in table}
-    horizon = min(last[x] // slots[x] * period + at[x, last[x] % slots[x]] for x in counts) + 1
+    horizon = plan.where("__ends").agg(F.min("__slot").alias("slot")).first()["slot"] + 1
+    plan = plan.drop("__ends")
     name = lambda x: "-" if x is None else f"+{x}"
-    plan = spark.createDataFrame([(name(x), i, r, d, s) for x, i, r, d, s in table], "__s string, __in long, __r long, __d long, __slot long")
-    owned = spark.createDataFrame([(name(x), n) for x, n in slots.items()], "__s string, __own long")
+    numbers = spark.createDataFrame([(name(x), k) for k, x in enumerate(names)], "__s string, __k int")
     digits = max(1, math.ceil(math.log(max(1, max(counts.values()) / _ROWS), 16)))
     # A source's order is that of the md5 of the ids; buckets of its first digits are ranked apart and then put in line.
     source = F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))
@@ -100,7 +121,6 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     rank = F.row_number().over(Window.partitionBy("__s", "__bucket").orderBy("__key", "doc_id")) - 1
     placed = dealt.withColumn("__rank", rank).join(before, ["__s", "__bucket"]).withColumn("__place", F.col("__rank") + F.col("__before"))
     placed = placed.withColumns({"block": F.floor(F.col("__place") / block), "place": (F.col("__place") % block).cast("int")})
-    # Both tables have a fixed size: a row for each source, and for each slot of a period.
-    placed = placed.join(F.broadcast(owned), "__s").withColumns({"__in": F.col("block") % F.col("__own"), "__turn": F.floor(F.col("block") / F.col("__own")) * period})
-    out = placed.join(F.broadcast(plan), ["__s", "__in"])
-    return out.select(*docs.columns, "block", *((F.col("__turn") + F.col(x)).alias(y) for x, y in (("__r", "release"), ("__d", "deadline"), ("__slot", "slot"))), "place", (F.col("__turn") + F.col("__slot") < horizon).alias("in_mix"))
+    placed = placed.join(F.broadcast(numbers), "__s").withColumn("__block", F.col("block"))
+    out = placed.join(F.broadcast(plan) if sum(blocks) <= SENT_BLOCKS else plan, ["__k", "__block"])
+    return out.select(*docs.columns, "block", F.col("__r").alias("release"), F.col("__d").alias("deadline"), F.col("__slot").alias("slot"), "place", (F.col("__slot") < horizon).alias("in_mix"))
