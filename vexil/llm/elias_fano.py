@@ -1,4 +1,4 @@
-"""Elias-Fano lists: non-decreasing integers in about 2 + log2(range / length) bits each, searched where they lie, without unpacking."""
+"""Elias-Fano lists: non-decreasing integers in about 2 + log2(range / length) bits each, read and searched where they lie, without unpacking."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import mmap
 
 import numpy as np
 
-_EVERY = 16  # one stored place for so many zeros of the high bits
+_EVERY = 16  # one stored place for so many zeros (or ones) of the high bits
 _U = np.uint64
 
 
@@ -25,8 +25,9 @@ def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     return words
 
 
-def encode(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays for EliasFano: sizes, packed low bits, unary high bits, and the places of every 16th zero among them."""
+def encode(name: str, values: np.ndarray, read: bool = False) -> dict[str, np.ndarray]:
+    """Arrays for EliasFano: sizes, packed low bits, unary high bits, and the places of every 16th zero among them, by which
+    values are searched; a list to be read by place (read) has the places of every 16th one in their stead."""
     values = np.asarray(values, np.int64)
     n = len(values)
     top = int(values[-1]) + 1 if n else 1
@@ -35,12 +36,12 @@ def encode(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
     size = n + buckets
     high = np.zeros(size + 64 + (-(size + 64)) % 64, np.uint8)
     high[(values >> bits) + np.arange(n)] = 1
-    zeros = np.flatnonzero(high[:size] == 0)
+    marks = np.flatnonzero(high[:size] == (1 if read else 0))
     return {
         f"{name}.head": np.array([n, bits, buckets], np.int64),
         f"{name}.low": _pack(values, bits),
         f"{name}.high": np.packbits(high, bitorder="little").view(np.uint64),
-        f"{name}.zeros": zeros[::_EVERY].astype(np.int64 if size >> 31 else np.int32),
+        f"{name}.marks": marks[::_EVERY].astype(np.int64 if size >> 31 else np.int32),
     }
 
 
@@ -56,31 +57,38 @@ class EliasFano:
 
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.n, self.bits, self.buckets = map(int, arrays[f"{name}.head"])
-        self.low, self.high, self.zeros = (arrays[f"{name}.{x}"] for x in ("low", "high", "zeros"))
-
-    def _before(self, bucket: np.ndarray) -> np.ndarray:
-        """How many values lie in lower buckets: the zero that ends the bucket before, found from a stored place on."""
-        k = bucket - 1
-        at = self.zeros[np.maximum(k, 0) // _EVERY].astype(np.int64)
-        left = np.maximum(k, 0) % _EVERY
-        out = np.where(k < 0, 0, at - k)
-        todo = np.flatnonzero((left > 0) & (k >= 0))
-        at, left = at[todo] + 1, left[todo]
+        self.low, self.high, self.marks = (arrays[f"{name}.{x}"] for x in ("low", "high", "marks"))
+
+    def _select(self, k: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """The place of the k-th marked bit (from 0) among the high bits, found from a stored place on. flip: what makes the marked bits ones."""
+        out = self.marks[k // _EVERY].astype(np.int64)
+        left = k % _EVERY
+        todo = np.flatnonzero(left)
+        at, left = out[todo] + 1, left[todo]
         while len(todo):
-            free = ~_window(self.high, at)
-            there = np.bitwise_count(free).astype(np.int64)
+            bits = _window(self.high, at) ^ flip
+            there = np.bitwise_count(bits).astype(np.int64)
             here = left <= there
-            bits, steps = free[here], left[here]
+            bits, steps = bits[here], left[here]
             for step in range(1, _EVERY):
                 more = steps > step
                 if not more.any():
                     break
                 bits = np.where(more, bits & (bits - _U(1)), bits)
-            place = np.bitwise_count((bits & (~bits + _U(1))) - _U(1)).astype(np.int64)
-            out[todo[here]] = at[here] + place - k[todo[here]]
+            out[todo[here]] = at[here] + np.bitwise_count((bits & (~bits + _U(1))) - _U(1)).astype(np.int64)
             todo, at, left = todo[~here], at[~here] + 64, left[~here] - there[~here]
         return out
 
+    def _before(self, bucket: np.ndarray) -> np.ndarray:
+        """How many values lie in lower buckets: up to the zero that ends the bucket before."""
+        k = np.maximum(bucket - 1, 0)
+        return np.where(bucket > 0, self._select(k, ~_U(0)) - k, 0)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at these places, of a list made to be read."""
+        i = np.asarray(i, np.int64)
+        return (self._select(i, _U(0)) - i) << self.bits | self._low(i)
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), np.int64)
