@@ -6,8 +6,8 @@ weights at exactly zero, so that the model is a short list that every task can h
 
 Defined cases: a null or empty text has no features and gets the bias alone; repeated documents get equal scores; labels
 of null are left out, and a doc_id with several labels counts as toxic if one of them says so; with no labelled rows
-every score is 0.5 and predicts 0 (the threshold then is never reached from above because score > 0.5 is needed by an
-untrained model). Other columns of the inputs are never read.
+every score is that of the bias UNTRAINED, below one half. A document is predicted toxic if and only if its score is at least
+one half. Other columns of the inputs are never read.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from vexil.llm.ragged import doc_of, hash_words, mix, text_blocks
 from vexil.llm.shared import small_batches
 
 _WORDS = 1 << 17  # of a block of texts: its features take some 30 MB
+#: The bias of a model that has learnt from nothing.
+UNTRAINED = -1.0
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    """max_rows bounds the labelled rows that the fit reads (about; chosen by a hash of the id)."""
+    """max_rows and max_bytes bound the labelled rows that the fit reads and their texts (about; chosen by a hash of the id)."""
 
     bits: int = 20
     alpha: float = 1.0
@@ -38,6 +40,7 @@ class Ftrl:
     l2: float = 0.0
     epochs: int = 3
     max_rows: int = 20_000
+    max_bytes: int = 64 << 20
 
 
 def features(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +101,7 @@ def train(labelled: DataFrame, how: Ftrl = Ftrl()) -> dict:
     rows = named.mapInArrow(featurise, "k string, doc_id long, toxic int, at array<int>").repartition(1).sortWithinPartitions("k", "doc_id")
     model = rows.mapInPandas(fit, "at long, w double").toPandas()  # 2**bits + 1 rows at most
     real = model["at"] >= 0
-    return {"bits": bits, "at": model["at"][real].to_numpy(), "w": model["w"][real].to_numpy(), "bias": float(model["w"][~real].sum()), "trained": len(model) > 0}
+    return {"bits": bits, "at": model["at"][real].to_numpy(), "w": model["w"][real].to_numpy(), "bias": float(model["w"][~real].sum()) if len(model) else UNTRAINED}
 
 
 def score(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
@@ -120,8 +123,7 @@ def score(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
                 key = np.unique(row[hit] << m["bits"] | at[hit])
                 out[i:j] += np.bincount(key >> m["bits"], dense[key & ((1 << m["bits"]) - 1)], j - i)
             p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            said = (p >= 0.5) & m["trained"]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(p), pa.array(said.astype(np.int32))], [*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, f"{schema}, score double, predicted int")
@@ -133,13 +135,16 @@ def fold_of(doc_id: str = "doc_id") -> F.Column:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> dict:
-    """Fits on labelled documents outside the held-out fold; at most about how.max_rows of them."""
+    """Fits on labelled documents outside the held-out fold: on all, or on a sample of about how.max_rows of them with how.max_bytes of text."""
     known = labels.where("toxic is not null and doc_id is not null").where(fold_of() != 0).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    # Only ids and lengths are shuffled to size the sample.
     n = known.count()
+    size = docs.select("doc_id", F.octet_length("text").alias("b")).join(known, "doc_id").agg(F.sum("b").alias("b")).first()["b"] if n else 0
     if not n:
-        return {"bits": how.bits, "at": np.zeros(0, np.int64), "w": np.zeros(0), "bias": 0.0, "trained": False}
-    if n > how.max_rows:
-        known = known.where(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))) < int(how.max_rows / n * 2**32))
+        return {"bits": how.bits, "at": np.zeros(0, np.int64), "w": np.zeros(0), "bias": UNTRAINED}
+    share = min(how.max_rows / n, how.max_bytes / max(size or 0, 1))
+    if share < 1:
+        known = known.where(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))) < int(share * 2**32))
     # The sample has a bound, so it may be sent to every task.
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return train(texts, how)
