@@ -21,7 +21,8 @@ their own to be similar to any other text of such buckets leave these first, and
 bands of 3 samples a pair of similarity 0.8 meets with probability 0.9998.
 
 Defined cases: null and empty texts, or texts without a word, are each a class of their own; a null doc_id is too;
-rows that share a doc_id are told apart by their words (their links are verified on the smaller text); ties go to the smallest doc_id; columns beside doc_id and text are not read.
+rows that share a doc_id but not the text are documents of their own, each with the class of its own text; rows that share both have one class and
+stay or go together; ties go to the smallest doc_id, then to the smallest hash of the text; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vexil.llm.components import components
@@ -56,6 +57,10 @@ _SLICES = 64  # rows in which a task sends its bucket counts
 _IDS = np.uint64((1 << 48) - 1)
 
 
+def _body() -> Column:
+    return F.xxhash64("text").alias("body")
+
+
 def shingles(text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct 48-bit shingles by row: ids, counts, the rows' offsets; and a 64-bit hash of each row's words (0: no words)."""
     h, off = hash_words(text)
@@ -177,7 +182,7 @@ def samples(ids: np.ndarray, weight: np.ndarray, ends: np.ndarray, k: int) -> np
 
 
 def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, whole (hash of all words; null: no words), weight (of all shingles), keys (one hash for each band)."""
+    """doc_id, body (hash of the text), whole (hash of all words; null: no words), weight (of all shingles), keys (one hash for each band)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +195,9 @@ def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int
                 for s in range(bands * rows):
                     keys[s // rows] = mix(keys[s // rows] * np.uint64(0x9E6C63D0876A9A47) + drawn[s] + np.uint64(s))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.T.reshape(-1).astype(np.int64)), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(whole.astype(np.int64), mask=whole == 0), pa.array(np.bincount(doc_of(ends), w, j - i).astype(np.float64)), lists], ["doc_id", "whole", "weight", "keys"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), b["body"].slice(i, j - i), pa.array(whole.astype(np.int64), mask=whole == 0), pa.array(np.bincount(doc_of(ends), w, j - i).astype(np.float64)), lists], ["doc_id", "body", "whole", "weight", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, whole long, weight double, keys array<long>")
+    return docs.select("doc_id", _body(), "text").mapInArrow(run, "doc_id long, body long, whole long, weight double, keys array<long>")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -399,14 +404,28 @@ def without_partners(docs: DataFrame, ids: DataFrame, weights: Weights, threshol
     return texts.mapInArrow(alone, "doc_id long").distinct()
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), n_links of the row's text to other texts; one row for each row of docs."""
+def _named(rows: DataFrame, shared_ids: DataFrame | None) -> DataFrame:
+    """rows (doc_id, body, ...) with node, the name that a text goes by: its doc_id, if no other text has that."""
+    if shared_ids is None:
+        return rows.withColumn("node", F.col("doc_id"))
+    several = shared_ids.select("doc_id", F.lit(True).alias("several"))
+    return rows.join(several, "doc_id", "left").withColumn("node", F.when(F.col("several"), F.xxhash64("doc_id", "body")).otherwise(F.col("doc_id"))).drop("several")
+
+
+def classified(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, body, class_id, n_links and class (a name that no two classes share; null for rows that are classes of their own)."""
     weights = common_shingles(docs)
     signed = cut(signatures(docs, weights))
-    named = signed.where("doc_id is not null and whole is not null")
+    real = signed.where("doc_id is not null and whole is not null")
+    shared_ids = real.groupBy("doc_id").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("doc_id")
+    shared_ids = cut(shared_ids)
+    shared_ids = None if shared_ids.isEmpty() else shared_ids
+    named = _named(real, shared_ids)
+    docs = docs.select("doc_id", _body(), "text").where("doc_id is not null")
+    docs = _named(docs, shared_ids).select(F.col("node").alias("doc_id"), "text")
     # Equal words: one representative. Keys tell apart any texts whose hash is equal by chance.
     most = BANDS * signed.count()
-    reps = cut(named.groupBy("whole", F.xxhash64("keys").alias("sig")).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("weight").alias("weight")), most)
+    reps = cut(named.groupBy("whole", F.xxhash64("keys").alias("sig")).agg(F.min_by("node", F.struct("doc_id", "body")).alias("rep"), F.first("keys").alias("keys"), F.first("weight").alias("weight")), most)
     members = reps.select("rep", "weight", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep", "weight")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     open_ = cut(members.join(shared, "bucket").distinct(), most)
@@ -433,7 +452,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     links = classes = None
     if not groups.isEmpty():
         used = groups.select(F.explode(F.array("lead", "rep")).alias("doc_id")).distinct()
-        texts = docs.select("doc_id", "text").where("doc_id is not null").join(used, "doc_id", "left_semi")
+        texts = docs.join(used, "doc_id", "left_semi")
         texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
         groups = linked_leads(groups, texts, weights, threshold)
         n = groups.count()
@@ -461,19 +480,35 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         more = cut(more.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"), n)
         links = cut(links.unionByName(_jaccard(more, texts, weights, threshold)))
         classes = components(links)
-    base = signed.select("doc_id", "whole", F.xxhash64("keys").alias("sig"))
+    base = signed.select("doc_id", "body", "whole", F.xxhash64("keys").alias("sig"))
     if links is None:
-        named_class = reps.select("whole", "sig", "rep", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        named_class = reps.select("whole", "sig", F.col("rep").alias("class"), F.lit(0).cast("long").alias("n_links"))
     else:
         degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
         named_class = reps.select("whole", "sig", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-        named_class = named_class.select("whole", "sig", "rep", F.coalesce("class", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        named_class = named_class.select("whole", "sig", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = base.join(named_class, ["whole", "sig"], "left")
     own = F.col("doc_id").isNull() | F.col("whole").isNull()
-    return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"))
+    out = out.withColumns({"class": F.when(~own, F.col("class")), "n_links": F.when(own, F.lit(0).cast("long")).otherwise(F.col("n_links"))})
+    smallest = F.col("class")
+    if shared_ids is not None:
+        # Names aren't ids here: a class goes by the smallest id of its rows, by partial minima.
+        ids = out.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("smallest"))
+        out, smallest = out.join(ids, "class", "left"), F.col("smallest")
+    return out.select("doc_id", "body", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(smallest).alias("class_id"), "n_links", "class")
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), n_links of the row's text to other texts; one row for each row of docs."""
+    return classified(docs, threshold).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that lead their class; all columns stay. Rows without a doc_id or without words all stay."""
-    gone = near_classes(docs, threshold).where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rows = cut(classified(docs, threshold).where("class is not null").select("doc_id", "body", "class_id", "class"))
+    # The smallest id leads; if several texts of a class have it, the one with the smallest hash.
+    leads = rows.where("doc_id = class_id").groupBy("class").agg(F.min("body").alias("lead"))
+    late = rows.where("doc_id = class_id").join(leads, "class").where("body <> lead")
+    gone = rows.where("doc_id <> class_id").select("doc_id", "body").unionByName(late.select("doc_id", "body")).distinct()
+    gone = gone.select(F.col("doc_id").alias("__near_id"), F.col("body").alias("__near_body"))
+    return docs.join(gone, (docs["doc_id"] == F.col("__near_id")) & (F.xxhash64(docs["text"]) == F.col("__near_body")), "left_anti").select(*docs.columns)
