@@ -10,9 +10,10 @@ Equal lines are one from the start, by 128 bits of hash. A line can only have a
 half (cut by the length of the shorter of the two) with another line, so only such lines emit variants. Long lines emit them
 piece by piece: cut into up to PIECES pieces, all but one must be shared, and that one emits the variants.
 
-Defined cases: a null text stays null and has no lines; blank lines stay; lines shorter than least_chars are only compared for
-equality; earliest is by (doc_id, a hash of the text, line number), nulls first; rows that share doc_id and text keep the same
-lines; other columns stay, and columns named like the added ones are replaced.
+Defined cases: a null text stays null and has no lines; blank lines stay; lines of any length are compared, so of two lines of one character
+the later goes (lines shorter than least_chars, if that is raised, are only compared for equality); earliest is by (doc_id, a hash of the text,
+line number), nulls first; rows that share doc_id and text keep the same lines; other columns stay, whatever their names, and columns
+named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vexil.llm.shared import cut
 
-LEAST_CHARS = 10
+LEAST_CHARS = 1
 PIECES, PIECE_CHARS = 64, 16
 #: So many rows of three numbers may be sent to every task (24 MB); more are joined by a shuffle.
 SENT_ROWS = 1_000_000
@@ -114,14 +115,17 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, max_edits: int
     if max_edits:
         some = cut(close_texts(docs, first))
         kept = kept.join(earlier_partners(some), "at", "left_anti")
-    kept = kept.select("at.*").groupBy("doc_id", "doc").agg(F.collect_list("line").alias("__kept")).toDF("__id", "__doc", "__kept")
-    rest = docs.drop("n_lines", "n_kept")
-    full = rest.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__doc")), "left")
-    full = full.withColumns({"__lines": F.split("text", "\n", -1), "__kept": F.coalesce("__kept", F.expr("cast(array() as array<int>)"))})
-    blank = F.filter(F.transform("__lines", lambda x, i: F.when(_trimmed(x) == "", i)), lambda i: i.isNotNull())
-    full = full.withColumns({"__blank": F.coalesce(blank, F.expr("cast(array() as array<int>)"))})
-    order = F.array_sort(F.concat("__kept", "__blank"))
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform(order, lambda i: F.get("__lines", i)), "\n"))
-    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines") - F.size("__blank")), "n_kept": F.size("__kept")}
-    full = full.withColumns({"__text": text, **counts})
-    return full.select(*(F.col("__text").alias("text") if c == "text" else c for c in rest.columns), "n_lines", "n_kept")
+    kept = kept.select("at.*").groupBy("doc_id", "doc").agg(F.collect_list("line").alias("kept")).toDF("id", "doc", "kept")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
+    # All columns of docs travel as one, so that no name of theirs can clash.
+    rest = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"))
+    full = rest.join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")) & F.xxhash64("row.text").eqNullSafe(F.col("doc")), "left")
+    none = F.expr("cast(array() as array<int>)")
+    full = full.select("row", F.split("row.text", "\n", -1).alias("lines"), F.coalesce("kept", none).alias("kept"))
+    blank = F.filter(F.transform("lines", lambda x, i: F.when(_trimmed(x) == "", i)), lambda i: i.isNotNull())
+    full = full.withColumn("blank", F.coalesce(blank, none))
+    order = F.array_sort(F.concat("kept", "blank"))
+    text = F.when(F.col("row.text").isNotNull(), F.array_join(F.transform(order, lambda i: F.get("lines", i)), "\n"))
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines") - F.size("blank"))
+    out = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
+    return full.select(*out, n_lines.alias("n_lines"), F.size("kept").alias("n_kept"))

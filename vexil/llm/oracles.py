@@ -5,9 +5,9 @@ LINE_DEDUP = r"""
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
 lines AS (SELECT doc_id, line, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM raw),
 firsts AS (SELECT t, min((doc_id, line)) AS f FROM lines WHERE t <> '' GROUP BY t),
-spots AS (SELECT t, f, unnest(range(1, length(t) + 1)) AS i FROM firsts WHERE length(t) >= 10),
+spots AS (SELECT t, f, unnest(range(1, length(t) + 1)) AS i FROM firsts),
 less AS (SELECT f, i, md5(substring(t, 1, i - 1) || substring(t, i + 1)) AS v FROM spots),
-whole AS (SELECT f, md5(t) AS v FROM firsts WHERE length(t) >= 10),
+whole AS (SELECT f, md5(t) AS v FROM firsts),
 same AS (SELECT f, min(f) OVER (PARTITION BY v, i) AS o FROM less),
 gone AS (
   SELECT f FROM same WHERE o < f
@@ -20,7 +20,7 @@ SELECT d.doc_id, count(m.line) FILTER (WHERE NOT blank) AS n_lines, count(m.line
 FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
-#: All alignments that share four words, without masks.
+#: All alignments that share enough words, without masks.
 DECONTAMINATE = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
 iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
@@ -31,7 +31,7 @@ n AS (SELECT *, least(q, hi - win) AS s FROM m WHERE hi - lo >= win QUALIFY coun
 c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q RANGE BETWEEN (q - s) PRECEDING AND (s + win - 1 - q) FOLLOWING) AS k FROM n),
 b AS (SELECT doc_id, item_id, shift, win, ni, max(k) AS k FROM c GROUP BY ALL)
 SELECT doc_id, item_id, CAST(max(win) AS BIGINT) AS "window", CAST(max(k) AS BIGINT) AS matched, CAST(min(shift) AS BIGINT) AS shift
-FROM b WHERE k >= CASE WHEN ni < 8 THEN win ELSE ceil(win * 80 / 100.0) END GROUP BY doc_id, item_id
+FROM b WHERE k >= ceil(win * 80 / 100.0) GROUP BY doc_id, item_id
 """
 
 
