@@ -140,7 +140,7 @@ class TextCounter:
 
 
 @cache
-def _counter(vocabulary: str) -> TextCounter:
+def counter_of(vocabulary: str) -> TextCounter:
     """One for each worker process and vocabulary."""
     return TextCounter(vocabulary)
 
@@ -149,7 +149,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs (doc_id, text). vocabulary: path of a file that all executors have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(vocabulary)
+        counter = counter_of(vocabulary)
         for b in batches:
             texts = b["text"]
             counts: list[int] = []
