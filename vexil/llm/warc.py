@@ -1,4 +1,8 @@
-"""WARC: revisit resolution. Headers meet by payload digest, revisits are joined to the original response, archives get fresh headers.
+"""WARC: revisit resolution. Headers are shuffled by payload digest, revisits are joined to the original response, archives get fresh headers.
+
+Payloads are never dealt by digest: a header is a page's id, its url and its digest. Of pages with one digest the header of the smallest id is
+found by partial minima; what the digests that occur more than once say of each page goes back to the payloads by id and digest, so a payload
+that a third of all pages have is spread over all tasks.
 
 write_archives() turns pages into records in gzipped WARC/1.1 files in a shared folder (one gzip member a record); of the
 pages with one payload the smallest page_id becomes the response and the others revisits that refer to it and carry no
@@ -25,6 +29,9 @@ from pyspark.sql import functions as F
 from vexil.llm.shared import local_path, new_folder, put_file, small_batches
 
 _FILE_BYTES = 16 << 20
+_SALTS = 16
+#: Archives are read by so many tasks at most, one file after the other.
+_READERS = 10_000
 #: The WARC 1.1 profile for payloads that were met before.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -75,13 +82,19 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str],
 
 def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to, refers_url of all rows of pages (page_id, url, html)."""
-    own = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    own = own.withColumn("digest", F.sha1("payload"))
-    heads = own.where((F.length("payload") >= least_bytes) & F.col("page_id").isNotNull()).select("digest", F.struct("page_id", "url").alias("h"))
-    first = heads.groupBy("digest").agg(F.min("h").alias("first"))
-    joined = own.join(first, "digest", "left")
-    revisit = (F.length("payload") >= least_bytes) & F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first.page_id")))
-    return joined.select("page_id", "url", "payload", F.when(revisit, F.col("first.page_id")).alias("refers_to"), F.when(revisit, F.col("first.url")).alias("refers_url"))
+    payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
+    own = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    heads = own.where(F.length("payload") >= least_bytes).select("page_id", "url", "digest")
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = heads.groupBy("digest").agg(F.min(known).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
+    # Which pages revisit: a row for each id and digest, however often the page occurs. Salted, as one digest may have a third of the headers.
+    salts = F.lit(_SALTS)
+    pairs = heads.select("page_id", "digest").distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), salts))
+    spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1)))
+    refers = pairs.join(spread, ["digest", "salt"]).where("page_id is null or page_id <> first.page_id")
+    refers = refers.select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), "first")
+    joined = own.join(refers, F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
+    return joined.select("page_id", "url", "payload", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 0) -> str:
@@ -145,7 +158,8 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
                     yield _frame(rows, names)
 
     listed = spark.read.schema("name string, records long").parquet(f"{folder}/manifest")
-    return listed.repartition("name").mapInPandas(run, fields)
+    # A stated number of tasks, or Spark would put the short list of names into one.
+    return listed.repartition(min(max(listed.count(), 1), _READERS)).mapInPandas(run, fields)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
