@@ -20,6 +20,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +31,7 @@ from vexil.llm.shared import local_path, new_folder, put_file, small_batches
 
 _FILE_BYTES = 16 << 20
 _SALTS = 16
+_PIECE = 1 << 16
 #: Archives are read by so many tasks at most, one file after the other.
 _READERS = 10_000
 #: The WARC 1.1 profile for payloads that were met before.
@@ -65,13 +67,18 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers: tu
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """(WARC headers, HTTP headers, payload) of every record of a gzipped archive; one record is unpacked at a time."""
+def parse_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+    """(WARC headers, HTTP headers, payload) of every record of a gzipped archive; the file is read piece by piece, and one record is unpacked at a time."""
+    data = file.read(_PIECE)
     while data:
-        unpack = zlib.decompressobj(31)
-        raw = unpack.decompress(data) + unpack.flush()
-        data = unpack.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
+        unpack, parts = zlib.decompressobj(31), []
+        while data and not unpack.eof:
+            parts.append(unpack.decompress(data))
+            data = unpack.unused_data if unpack.eof else file.read(_PIECE)
+        if not unpack.eof:
+            raise ValueError("an archive is cut off")
+        data = data or file.read(_PIECE)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         warc = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         block = rest[: int(warc["Content-Length"])]
         if warc["WARC-Block-Digest"] != f"sha1:{base32_digest(block)}":
@@ -144,16 +151,17 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
         for f in frames:
             for name in f["name"]:
                 rows = []
+                size = 0
                 with open(f"{path}/parts/{name}", "rb") as file:
-                    data = file.read()
-                for warc, http, payload in parse_records(data):
-                    kind, digest = warc["WARC-Type"], warc["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response" and (len(payload) != int(http["Content-Length"]) or base32_digest(payload) != digest):
-                        raise ValueError(f"payload of {warc['WARC-Record-ID']} is damaged")
-                    rows.append((warc.get("WARC-Page-ID"), int(http["Content-Length"]), digest, kind, warc.get("WARC-Refers-To-Page-ID"), *([payload] if with_payload else [])))
-                    if len(rows) == 5000:
-                        yield _frame(rows, names)
-                        rows = []
+                    for warc, http, payload in parse_records(file):
+                        kind, digest = warc["WARC-Type"], warc["WARC-Payload-Digest"].removeprefix("sha1:")
+                        if kind == "response" and (len(payload) != int(http["Content-Length"]) or base32_digest(payload) != digest):
+                            raise ValueError(f"payload of {warc['WARC-Record-ID']} is damaged")
+                        rows.append((warc.get("WARC-Page-ID"), int(http["Content-Length"]), digest, kind, warc.get("WARC-Refers-To-Page-ID"), *([payload] if with_payload else [])))
+                        size += len(payload) if with_payload else 0
+                        if len(rows) == 5000 or size > _FILE_BYTES:
+                            yield _frame(rows, names)
+                            rows, size = [], 0
                 if rows:
                     yield _frame(rows, names)
 
