@@ -2,11 +2,13 @@
 
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,10 +48,15 @@ def test_token_counts_equal_the_library(spark, odd, empty):
 
 def test_lines_near_an_earlier_one_go(spark, odd, empty):
     base = "the quick brown fox jumps"
-    docs = [(1, f"{base}\nshort\n\nshort"), (2, f"{base[:-1]}\nthe quick brown fix jumps\nshorts"), (3, f"  {base} \nanother line that stays"), (4, "another line that stays" + "!" * 2), (5, "z" * 3000 + "a"), (6, "z" * 3000 + "b"), (7, None)]
+    docs = [(1, f"{base}\nshort\n\nshort"), (2, f"{base[:-1]}\nthe quick brown fix jumps\nsharks"), (3, f"  {base} \nanother line that stays"), (4, "another line that stays" + "!" * 2), (5, "z" * 3000 + "a"), (6, "z" * 3000 + "b"), (7, None)]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert [got[i].text for i in range(1, 8)] == [f"{base}\nshort\n", "shorts", "another line that stays", "another line that stays!!", "z" * 3000 + "a", "", None]
+    assert [got[i].text for i in range(1, 8)] == [f"{base}\nshort\n", "sharks", "another line that stays", "another line that stays!!", "z" * 3000 + "a", "", None]
     assert got[7].n_lines == 0 and got[6].n_lines == 1 and got[6].n_kept == 0
+    tiny = [(0, "a\nab\nxyz"), (1, "b\nabc\nc\nxz"), (2, "q r\n\nq s")]
+    same = spark.createDataFrame([(*r, "k", "r") for r in tiny], "doc_id long, text string, kept string, row string").unionByName(spark.createDataFrame([(2, "other\nq r", "k", "r")], "doc_id long, text string, kept string, row string"))
+    got = sorted((r.doc_id, r.text, r.kept, r.row, r.n_kept) for r in line_dedup.dedup_lines(same).collect())
+    assert [x[:1] + x[2:4] for x in got] == [(0, "k", "r"), (1, "k", "r"), (2, "k", "r"), (2, "k", "r")]
+    assert got[0][1] == "a\nxyz" and got[1][1] == ""
     out = line_dedup.dedup_lines(odd)
     assert out.columns == ["doc_id", "text", "source", "score", "n_lines", "n_kept"] and out.count() == odd.count()
     assert line_dedup.dedup_lines(empty).count() == 0
@@ -68,9 +75,10 @@ def test_line_dedup_and_decontamination_against_sql(spark):
 
 
 def test_masks_hit_every_window_that_counts():
-    for w in range(decontaminate.EXACT_BELOW, decontaminate.WINDOW + 1):
+    for w in range(decontaminate.SHORTEST, decontaminate.WINDOW + 1):
         for bad in itertools.combinations(range(w), w - math.ceil(w * 80 / 100)):
-            assert any(all(p + i not in bad for i in m) for m in decontaminate.MASKS for p in range(w - m[-1]))
+            masks = decontaminate.MASKS if w >= decontaminate.LONG else decontaminate.SHORT_MASKS
+            assert any(all(p + i not in bad for i in m) for m in masks for p in range(w - m[-1]))
 
 
 def test_decontamination_cases(spark, odd, empty):
@@ -84,6 +92,11 @@ def test_decontamination_cases(spark, odd, empty):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, items).collect()} == {(1, 1), (2, 1), (None, 1)}
     assert {r.doc_id for r in decontaminate.clean(df, items).collect()} == {3, 4, 5}
+    some = spark.createDataFrame([(9, "alpha beta gamma delta epsilon"), (9, "one two three four five six seven"), (8, "what is it now")], "item_id long, text string")
+    more = [(1, "an alpha beta gama delta epsilon end"), (2, "alpha beta x y epsilon"), (3, "one two three FOUR 5 six seven"), (4, "what is it now"), (4, "alpha beta gamma delta"), (5, "so alpha beta gamma delta")]
+    clashing = spark.createDataFrame([(*r, 7, 7) for r in more], "doc_id long, text string, bad_id int, item_id int")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(clashing, some).collect()} == {(1, 9), (3, 9)}
+    assert sorted((r.doc_id, r.bad_id) for r in decontaminate.clean(clashing, some).collect()) == [(2, 7), (4, 7), (4, 7), (5, 7)]
     assert decontaminate.leaks(odd, items).count() == 0 and decontaminate.leaks(empty, items).count() == 0
     assert decontaminate.clean(odd, items.limit(0)).count() == odd.count()
 
@@ -91,28 +104,42 @@ def test_decontamination_cases(spark, odd, empty):
 def test_seeds_run_over_the_ends_of_runs(spark, monkeypatch):
     df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50)))], "doc_id long, text string").select("doc_id", decontaminate.words().alias("h"))
     want = sorted(tuple(r) for r in decontaminate.seeds(df, "doc_id").collect())
+    assert decontaminate.seeds(df, "doc_id").columns == ["doc_id", "pos", "seed"]
     monkeypatch.setattr(decontaminate, "_RUN", 7)
     assert sorted(tuple(r) for r in decontaminate.seeds(df, "doc_id").collect()) == want
     assert len(want) == sum(50 - m[-1] for m in decontaminate.MASKS)
 
 
-def test_lm_scores_against_counting(spark, odd, empty):
-    rows = [(i, t) for i, t in enumerate(["a b c", "A b\tc d", "a b a b", None, "", "é É x", "q"] * 3)]
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_scores_against_counting(spark, odd, empty, monkeypatch, small):
+    if small:  # several files, and words whose successors are dealt over them
+        for name, value in (("WORD_BYTES", 40), ("FILE_TOKENS", 20), ("OFTEN", 5), ("_PENDING", 4)):
+            monkeypatch.setattr(lm, name, value)
+    rows = [(i, t) for i, t in enumerate(["a b c", "A b\tc d", "a b a b", None, "", "é É x", "q", "b a b c d a", "a b c a b d"] * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
     train = [split(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    c, pair, first, kinds = Counter(), Counter(), Counter(), Counter()
-    for ws in train:
-        c.update(ws)
-        for p, w in zip([0, *ws], ws):
-            kinds[p] += not pair[p, w]
-            pair[p, w] += 1
-            first[p] += 1
+    c = Counter(w for ws in train for w in ws)
     n, v = sum(c.values()), len(c)
+    seen, total, kinds = Counter(), Counter(), Counter()
+    for ws in train:
+        marked = [0, *ws]
+        for i, w in enumerate(ws):
+            for context in [(marked[i],)] + [(marked[i - 1], marked[i])] * (i > 0):
+                kinds[context] += not seen[context, w]
+                seen[context, w] += 1
+                total[context] += 1
     for r in lm.lm_scores(df).collect():
         ws = split(dict(rows)[r.doc_id])
+        marked = [0, *ws]
         base = {w: (c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in ws}
-        real = [max(pair[p, w] - 0.75, 0) / first[p] + 0.75 * kinds[p] / first[p] * base[w] if first[p] else base[w] for p, w in zip([0, *ws], ws)]
+        real = []
+        for i, w in enumerate(ws):
+            p = base[w]
+            for context in [(marked[i],)] + [(marked[i - 1], marked[i])] * (i > 0):
+                if total[context]:
+                    p = max(seen[context, w] - 0.75, 0) / total[context] + 0.75 * kinds[context] / total[context] * p
+            real.append(p)
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(c[w] > 0 for w in ws), n, zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
         assert r.base_score == pytest.approx(sum(math.log10(base[w]) for w in ws))
         assert r.score == pytest.approx(sum(map(math.log10, real)), abs=1e-3 * len(ws))
@@ -130,12 +157,38 @@ def test_toxicity_learns_a_word_and_keeps_odd_rows(spark, odd, empty):
     out = toxicity.score(odd, model, keep_text=True)
     assert out.count() == odd.count() and out.columns.count("score") == 1
     none = toxicity.toxicity_scores(odd, df.limit(0)).collect()
-    assert {r.predicted for r in none} == {0}
+    assert {r.predicted for r in none} == {0} and all(0 < r.score < 0.5 for r in none)
+    # Null labels, labels that contradict each other, and labels of no document.
+    strange = df.select("doc_id", "toxic").unionByName(spark.createDataFrame([(0, None), (1, 1), (1, 0), (10**6, 1)], "doc_id long, toxic int"))
+    assert toxicity.toxicity_scores(df.select("doc_id", "text"), strange).count() == 300
     assert toxicity.toxicity_scores(empty, df).count() == 0
 
 
+def test_toxicity_follows_plain_updates(spark):
+    """The fit against coordinate by coordinate updates of one row after the other."""
+    rng = random.Random(3)
+    rows = [([rng.randrange(40) for _ in range(rng.randrange(1, 9))], rng.randrange(2)) for _ in range(200)]
+    how = toxicity.Ftrl(bits=6, alpha=0.3, beta=0.7, l1=0.4, l2=0.2, epochs=2)
+    z, n, bias = Counter(), Counter(), 64
+
+    def weight(i):
+        l1 = 0.0 if i == bias else how.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((how.beta + math.sqrt(n[i])) / how.alpha + how.l2)
+
+    for _ in range(how.epochs):
+        for at, y in rows:
+            at = [*set(at), bias]
+            g = 1 / (1 + math.exp(-sum(map(weight, at)))) - y
+            for i in at:
+                w, sigma = weight(i), (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / how.alpha
+                z[i] += g - sigma * w
+                n[i] += g * g
+    at, w, b = toxicity._fit([(y, np.array([*sorted(set(x)), bias], np.int32)) for x, y in rows], how)
+    assert b == pytest.approx(weight(bias))
+    assert dict(zip(at.tolist(), w)) == pytest.approx({i: weight(i) for i in range(64) if weight(i)})
+
+
 def test_near_classes_against_all_pairs(spark, odd, empty):
-    import numpy as np
     import pyarrow as pa
 
     rng = np.random.default_rng(5)

@@ -30,7 +30,7 @@ def test_windows_hold_the_budget_and_digests_come_back(spark):
     windows = chat.format_windows(df, budget=40).cache()
     for w in windows.where("conv_id = 1").collect():
         read = chat.read_window(w.text)
-        assert read[0][:2] == ("system", "be nice") and sum(chat.tokens(t) for _, t, _, _ in read) <= 40 and w.repeated < len(read)
+        assert read[0][:2] == ("system", "be nice") and sum(len(f"{r} {t}".split()) + chat.MARKS for r, t, _, _ in read) <= 40 and w.repeated < len(read)
     got = {r.conv_id: r for r in chat.read_back(windows).collect()}
     for conv in (1, 2, 3, None):
         own = [(r or "", t or "") for c, _, r, t in sorted((x for x in turns if x[0] == conv), key=lambda x: (x[1] is not None, x[1] or 0))]
@@ -41,6 +41,41 @@ def test_windows_hold_the_budget_and_digests_come_back(spark):
     assert chat.chat_digests(df.limit(0)).count() == 0
 
 
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant"]), st.integers(1, 30)), min_size=1, max_size=40), st.integers(5, 60), st.integers(0, 4))
+@settings(max_examples=300, deadline=None)
+def test_spans_against_adding_up(turns, budget, history):
+    """Windows by running sums against a plain count of what fits."""
+    now, got = chat._Conversation(1, budget, history), []
+    for i, (role, size) in enumerate(turns):
+        got.append(now.add(role, f"t{i}", size))
+    got = [x for x in [*got, now.window()] if x]
+    system, at, want = turns[0][0] == "system", 0, []
+    while at < len(turns):
+        free = budget - (turns[0][1] if system and at else 0)
+        low, used = at, 0
+        while low > max(at - history, 1 if system else 0) and used + turns[low - 1][1] <= max(free, 0) // 2:
+            low -= 1
+            used += turns[low][1]
+        end, used = at + 1, used + turns[at][1]
+        while end < len(turns) and used + turns[end][1] <= free:
+            used += turns[end][1]
+            end += 1
+        want.append(([0] if system and at else []) + list(range(low, end)))
+        at = end
+    assert [[int(t[1:]) for _, t, _, _ in chat.read_window(w["text"])] for w in got] == want
+
+
+def test_windows_count_tokens_of_the_vocabulary(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    df = spark.createDataFrame([(1, i, "user", f"unquestionably {'so ' * i}") for i in range(9)], "conv_id long, turn long, role string, text string")
+    for r in chat.sized(df, path).collect():
+        assert r.tokens == chat.MARKS + sum(len(library.encode(x, add_special_tokens=False).ids) for x in (r.role, r.text))
+
+
 def test_archives_round_trip(spark):
     pages = [(5, "http://a/é b", "<p>é\r\n\r\nx</p>"), (2, None, "<p>é\r\n\r\nx</p>"), (9, "u", None), (3, "u", ""), (None, "u", ""), (7, "u", "only"), (7, "u", "only"), (None, None, "lone")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")
@@ -67,8 +102,9 @@ def brute(vectors, every, k):
 
 
 def test_factor_one_is_exact_and_odd_vectors_take_no_part(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD", 300)
-    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "SHARD_BYTES", 300 * 8 * 8)
+    monkeypatch.setattr(ann, "BLOCK", 4)
+    monkeypatch.setattr(ann, "SPAN", 2)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(900)]
     rows[450] = (450, rows[100][1])
@@ -85,6 +121,26 @@ def test_factor_one_is_exact_and_odd_vectors_take_no_part(spark, monkeypatch):
     assert ann.nearest(spark.createDataFrame([(0, [1.0], 0)], df.schema)).count() == 0
 
 
+@pytest.mark.parametrize("factor", [1.0, 0.6])
+@pytest.mark.parametrize("dim", [32, 63, 64, 100])
+def test_ties_of_many_equal_vectors_go_to_the_smallest_ids(dim, factor):
+    rng = np.random.default_rng(dim)
+    raw = rng.normal(size=(3000, dim)).astype(np.float32)
+    ids = rng.permutation(3000)
+    same = rng.choice(3000, 400, replace=False)
+    raw[same] = raw[same[0]]
+    raw[same[:50]] *= 2  # another length, the same direction
+    asked = np.concatenate([same[:20], rng.choice(3000, 20, replace=False)])
+    q, at, score = ann.Searcher(ann.build(ann.unit(raw)), raw, ids, raw[asked], ids[asked], 5, factor).run()
+    for k, i in enumerate(asked):
+        every = ann.cosine(np.repeat(raw[i][None], 3000, 0), raw)
+        order = [j for j in np.lexsort((ids, -every)) if j != i][:5]
+        got = at[q == k]
+        if factor == 1 or i in same:
+            assert ids[got].tolist() == ids[order].tolist()
+        assert (score[q == k] == every[got]).all()
+
+
 def test_recall_on_the_embeddings(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     want = brute(rows, 50, 5)

@@ -41,6 +41,18 @@ def test_copies_whose_large_buckets_differ(spark):
     assert [(i, j) for i, j in close if got[i] != got[j]] == []
 
 
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(8)
+    x, y, z = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(80)) for k in "xyz")
+    near = y + " more"
+    rows = [(3, y), (7, x), (7, y), (8, near), (9, z), (9, z), (9, x + " also"), (None, y), (None, y)]
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, body string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_dup.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(3, y), (7, x), (9, z), (9, z), (None, y), (None, y)], key=str)
+    got = sorted(((r["doc_id"], r["class_id"]) for r in near_dup.near_classes(docs).collect()), key=str)
+    assert got == sorted([(3, 3), (7, 7), (7, 3), (8, 3), (9, 9), (9, 9), (9, 7), (None, None), (None, None)], key=str)
+
+
 def test_chain_of_leads_keeps_groups_together(spark):
     rng = random.Random(6)
     versions = [[f"v{i}" for i in range(200)]]
