@@ -52,6 +52,28 @@ def dense_ids(access: DataFrame) -> DataFrame:
     return access.select("tid").distinct().withColumn("dense_tid", F.row_number().over(Window.orderBy("tid")) - 1)
 
 
+def allocate(known: DataFrame, tids: DataFrame, reserved: list[int] | None = None) -> DataFrame:
+    """tid, number of all of tids: those of known (tid, number) stay; new ones, in order, get the smallest numbers that are neither used nor reserved."""
+    new = tids.select("tid").distinct().join(known.select("tid"), "tid", "left_anti")
+    n_new, n_known = new.count(), known.count()
+    spark = tids.sparkSession
+    used = known.select("number").unionByName(spark.createDataFrame([(int(x),) for x in reserved or []], "number long")).distinct()
+    # Among so many numbers enough are free.
+    free = spark.range(n_new + n_known + len(reserved or [])).select(F.col("id").alias("number")).join(used, "number", "left_anti")
+    ranked = new.withColumn("r", F.row_number().over(Window.orderBy("tid")))
+    given = ranked.join(free.withColumn("r", F.row_number().over(Window.orderBy("number"))), "r").select("tid", "number")
+    return known.select("tid", F.col("number").cast("long").alias("number")).unionByName(given)
+
+
+def repair(vectors: DataFrame, access: DataFrame) -> dict[str, DataFrame]:
+    """What follows from grants once repeated ones are counted once: access, lists (vec_id, labels), labels (tid, n, selectivity) and one row of metadata."""
+    once = distinct_grants(access)
+    shares = selectivity(vectors, once)
+    metadata = vectors.agg(F.count(F.lit(1)).alias("train_size")).crossJoin(once.agg(F.countDistinct("tid").alias("n_labels"), F.count(F.lit(1)).alias("n_grants")))
+    metadata = metadata.withColumn("avg_labels_per_vec", F.try_divide("n_grants", "train_size"))
+    return {"access": once, "lists": label_lists(vectors, once), "labels": shares, "metadata": metadata}
+
+
 def latest(versions: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
     """versions: vec_id, version, embedding. The newest of each vector, without those that were deleted at or after it."""
     now = versions.groupBy("vec_id").agg(F.max_by(F.struct("version", "embedding"), "version").alias("v")).select("vec_id", "v.*")

@@ -5,9 +5,14 @@ centroids(cluster_id, centroid) has a size set by the caller's number of cluster
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vexil.functions.arrays import matrix
 from vexil.functions.distance import l2_squared
 from vexil.lineage import cut
 from vexil.operators.knn import meet, top_k
@@ -27,36 +32,91 @@ def distances_to(vectors: DataFrame, means: DataFrame) -> DataFrame:
 
 
 def assign(vectors: DataFrame, means: DataFrame, replicas: int = 1) -> DataFrame:
-    """vec_id, cluster_id, dist: the nearest centroids, ties to the smaller id."""
-    pairs = distances_to(vectors, means)
+    """vec_id, cluster_id, dist: the nearest centroids, ties to the smaller id. All centroids go to every task as one row, so nothing is shuffled."""
+    one = means.agg(F.collect_list(F.struct("cluster_id", "centroid")).alias("means"))
+    near = F.transform("means", lambda m: F.struct(l2_squared(F.col("embedding"), m["centroid"]).alias("dist"), m["cluster_id"].alias("cluster_id")))
+    rows = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(one))
     if replicas == 1:
-        best = F.min(F.struct("dist", "cluster_id")).alias("b")
-        return pairs.groupBy("vec_id").agg(best).select("vec_id", "b.cluster_id", "b.dist")
-    return top_k(pairs, replicas, ("vec_id",), ("dist", "cluster_id")).drop("rank")
+        return rows.select("vec_id", F.array_min(near).alias("b")).select("vec_id", "b.cluster_id", "b.dist")
+    return rows.select("vec_id", F.explode(F.slice(F.array_sort(near), 1, replicas)).alias("b")).select("vec_id", "b.cluster_id", "b.dist")
+
+
+def _nearest(v: np.ndarray, means: np.ndarray, load: np.ndarray | None = None) -> np.ndarray:
+    """The place of each vector's nearest mean; load is added to the squared distances."""
+    d = (v * v).sum(1)[:, None] + (means * means).sum(1)[None] - 2 * v @ means.T
+    return np.argmin(d if load is None else d + load[None], axis=1)
+
+
+def _round(vectors: DataFrame, means: np.ndarray, load: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of the vectors nearest to each mean: a task gives one row for each mean, however many vectors it has."""
+    shared = vectors.sparkSession.sparkContext.broadcast((means, load))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        means, load = shared.value
+        total, n = np.zeros_like(means), np.zeros(len(means), np.int64)
+        for b in batches:
+            if len(b):
+                v = matrix(b["embedding"])
+                at = _nearest(v, means, load)
+                np.add.at(total, at, v)
+                n += np.bincount(at, minlength=len(means))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(means)), pa.int32()), pa.array(list(total), pa.list_(pa.float64())), pa.array(n)], ["k", "total", "n"])
+
+    sums = vectors.select("embedding").mapInArrow(run, "k int, total array<double>, n long")
+    parts = sums.select("k", "n", F.posexplode("total").alias("pos", "x")).groupBy("k", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    rows = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("t"), F.max("n").alias("n")).collect()  # one a mean
+    total, n = np.zeros_like(means), np.zeros(len(means), np.int64)
+    for r in rows:
+        total[r["k"]], n[r["k"]] = [x["x"] for x in r["t"]], r["n"]
+    return total, n
+
+
+def _start(vectors: DataFrame, k: int) -> np.ndarray:
+    """The k vectors with the smallest hashes."""
+    rows = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(k).collect()
+    return np.array([r["embedding"] for r in rows], np.float64)
+
+
+def _table(spark: SparkSession, means: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(means)], "cluster_id int, centroid array<double>")
 
 
 def kmeans(vectors: DataFrame, k: int, rounds: int = 10, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """Lloyd's method from the k vectors with the smallest hashes. Gives centroids and the assignment to these. Empty clusters keep their centroid."""
-    spark = vectors.sparkSession
-    schema = "cluster_id int, centroid array<double>"
-    start = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(k).select("embedding").collect()
-    now = {i: [float(x) for x in r["embedding"]] for i, r in enumerate(start)}
-    for _ in range(rounds):
-        table = spark.createDataFrame(list(now.items()), schema)
-        joined = vectors.join(assign(vectors, table).select("vec_id", "cluster_id"), "vec_id")
-        new = now | {r["cluster_id"]: r["centroid"] for r in centroids(joined).collect()}  # k rows
-        moved = max(sum((a - b) ** 2 for a, b in zip(new[i], now[i])) for i in now) if now else 0
+    now = _start(vectors, k)
+    for _ in range(rounds if len(now) else 0):
+        total, n = _round(vectors, now)
+        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], now)
+        moved = ((new - now) ** 2).sum(1).max()
         now = new
         if moved <= tolerance:
             break
-    table = spark.createDataFrame(list(now.items()), schema)
+    table = _table(vectors.sparkSession, now)
     return table, assign(vectors, table)
 
 
+def balanced_kmeans(vectors: DataFrame, k: int, weight: float, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Lloyd's method with prices: a cluster's price, added to all distances to it, rises by weight times the surplus of its share over 1 / k in each round
+    (on the scale of the mean distance, by smaller and smaller steps), so that large clusters lose their outer members. With weight 0 it is
+    kmeans(). Gives centroids and vec_id, cluster_id, cost."""
+    now = _start(vectors, k)
+    price, scale = np.zeros(len(now)), 0.0
+    for r in range(rounds if len(now) else 0):
+        total, n = _round(vectors, now, price)
+        means = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], now)
+        if not scale and weight:
+            scale = ((means[:, None] - means[None]) ** 2).sum(2).mean() / len(means)
+        now, price = means, price + weight * scale * (n / max(n.sum(), 1) - 1 / len(now)) / np.sqrt(r + 1)
+    table = _table(vectors.sparkSession, now)
+    prices = vectors.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(price)], "cluster_id int, n double")
+    return table, balanced_assign(vectors, table, prices, 1.0)
+
+
 def balanced_assign(vectors: DataFrame, means: DataFrame, counts: DataFrame, weight: float) -> DataFrame:
-    """The cluster with the least dist + weight * count; counts: cluster_id, n of the last round."""
-    pairs = distances_to(vectors, means).join(F.broadcast(counts), "cluster_id", "left")
-    return pairs.withColumn("cost", F.col("dist") + weight * F.coalesce("n", F.lit(0))).groupBy("vec_id").agg(F.min(F.struct("cost", "cluster_id")).alias("b")).select("vec_id", "b.cluster_id")
+    """vec_id, cluster_id, cost: the cluster with the least dist + weight * n; counts: cluster_id, n."""
+    loaded = means.join(counts, "cluster_id", "left").agg(F.collect_list(F.struct("cluster_id", "centroid", F.coalesce("n", F.lit(0)).alias("n"))).alias("means"))
+    cost = F.transform("means", lambda m: F.struct((l2_squared(F.col("embedding"), m["centroid"]) + weight * m["n"]).alias("cost"), m["cluster_id"].alias("cluster_id")))
+    return vectors.select("vec_id", "embedding").crossJoin(F.broadcast(loaded)).select("vec_id", F.array_min(cost).alias("b")).select("vec_id", "b.cluster_id", "b.cost")
 
 
 def probe(queries: DataFrame, vectors: DataFrame, means: DataFrame, nprobe: int, k: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -70,6 +130,33 @@ def probe(queries: DataFrame, vectors: DataFrame, means: DataFrame, nprobe: int,
     return top_k(scored, k).select("query_id", "rank", "vec_id", "dist")
 
 
+def tenant_probe(queries: DataFrame, vectors: DataFrame, means: DataFrame, access: DataFrame, nprobe: int, k: int) -> DataFrame:
+    """Search of the nprobe nearest of those clusters that hold a vector of the query's label. queries: query_id, q, tid; vectors: vec_id, embedding, cluster_id."""
+    held = access.join(vectors.select("vec_id", "cluster_id"), "vec_id").select("tid", "cluster_id").distinct()
+    near = queries.join(held, "tid").join(F.broadcast(means.select("cluster_id", "centroid")), "cluster_id")
+    near = near.select("query_id", "tid", "q", "cluster_id", l2_squared(F.col("centroid"), F.col("q")).alias("dist"))
+    visits = top_k(near, nprobe, ("query_id",), ("dist", "cluster_id")).select("query_id", "tid", "q", "cluster_id")
+    seen = visits.join(vectors.select("vec_id", "embedding", "cluster_id"), "cluster_id").join(access.select("vec_id", "tid").distinct(), ["vec_id", "tid"], "left_semi")
+    scored = seen.select("query_id", "vec_id", l2_squared(F.col("embedding"), F.col("q")).alias("dist")).dropDuplicates(["query_id", "vec_id"])
+    return top_k(scored, k).select("query_id", "rank", "vec_id", "dist")
+
+
+def tuned_probes(queries: DataFrame, vectors: DataFrame, means: DataFrame, k: int, recall: float = 0.95) -> int:
+    """The least number of clusters whose search finds at least that share of the exact neighbours of a (small) set of queries: the rank of each true neighbour's
+    cluster among its query's says what any number of probes would find."""
+    asked = queries.select(F.col("query_id").alias("vec_id"), F.col("q").alias("embedding"))
+    places = top_k(distances_to(asked, means), 1 << 30, ("vec_id",), ("dist", "cluster_id")).select(F.col("vec_id").alias("query_id"), "cluster_id", F.col("rank").alias("place"))
+    truth = top_k(meet(queries, vectors.select("vec_id", "embedding", "cluster_id")).select("query_id", "vec_id", "cluster_id", l2_squared(F.col("embedding"), F.col("q")).alias("dist")), k)
+    found = truth.select("query_id", "cluster_id").join(places, ["query_id", "cluster_id"]).groupBy("place").agg(F.count(F.lit(1)).alias("n")).orderBy("place").collect()  # one a cluster
+    total = sum(r["n"] for r in found)
+    seen = 0
+    for r in found:
+        seen += r["n"]
+        if seen >= recall * total:
+            return r["place"]
+    return 1
+
+
 def node_stats(vectors: DataFrame, means: DataFrame) -> DataFrame:
     """cluster_id, n, variance (mean squared distance to the centroid); vectors: with cluster_id."""
     joined = vectors.join(F.broadcast(means.select("cluster_id", "centroid")), "cluster_id")

@@ -79,26 +79,6 @@ def latency_at(points: DataFrame, target: float, by: tuple[str, ...] = ()) -> Da
     return exact.unionByName(between.select(*by, F.exp(F.ln("latency_ms") + t * (F.ln("next_ms") - F.ln("latency_ms"))).alias("latency_ms")))
 
 
-def longest_rise(points: DataFrame) -> DataFrame:
-    """The longest chain of points that rises in recall and doesn't fall in latency_ms; small tables only (one group)."""
-    import pandas as pd
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["recall", "latency_ms"]).reset_index(drop=True)
-        n, back = [1] * len(f), [-1] * len(f)
-        for j in range(len(f)):
-            for i in range(j):
-                if f.recall[i] < f.recall[j] and f.latency_ms[i] <= f.latency_ms[j] and n[i] + 1 > n[j]:
-                    n[j], back[j] = n[i] + 1, i
-        keep, at = [], max(range(len(f)), key=lambda j: (n[j], -j)) if len(f) else -1
-        while at >= 0:
-            keep.append(at)
-            at = back[at]
-        return f.iloc[keep[::-1]]
-
-    return points.groupBy().applyInPandas(run, points.schema)
-
-
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of new replace rows of old with the same key; columns of both are those of old."""
     rest = [c for c in old.columns if c != key]
@@ -111,9 +91,10 @@ def drop_empty(runs: DataFrame, *values: str) -> DataFrame:
 
 
 def three_buckets(rows: DataFrame, bucket: str) -> DataFrame:
-    """The first, middle and last of the distinct buckets."""
-    ranked = rows.select(bucket).distinct().withColumns({"r": F.row_number().over(Window.orderBy(bucket)), "n": F.count(F.lit(1)).over(Window.partitionBy())})
-    return ranked.where((F.col("r") == 1) | (F.col("r") == F.floor(F.col("n") / 2) + 1) | (F.col("r") == F.col("n"))).select(bucket)
+    """The first, middle and last of the distinct buckets, without any whose name holds 'overflow'; all of them, if they are three or fewer."""
+    distinct = rows.select(bucket).distinct().where(~F.lower(F.col(bucket).cast("string")).contains("overflow"))
+    ranked = distinct.withColumns({"r": F.row_number().over(Window.orderBy(bucket)), "n": F.count(F.lit(1)).over(Window.partitionBy())})
+    return ranked.where((F.col("n") <= 3) | (F.col("r") == 1) | (F.col("r") == F.floor(F.col("n") / 2) + 1) | (F.col("r") == F.col("n"))).select(bucket)
 
 
 def grid(spark, **values: list) -> DataFrame:

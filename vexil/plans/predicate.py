@@ -80,9 +80,10 @@ def labels(node: Node) -> set[int]:
 
 
 def classify(node: Node) -> str:
-    """NOT, AND_NOT, AND, OR, or SINGLE: by the operators that occur."""
-    names = {n.name for n in _ops(node)}
-    return "SINGLE" if not names else "NOT" if names == {"NOT"} else "OR" if "OR" in names else "AND_NOT" if "NOT" in names else "AND"
+    """SINGLE, NOT, OR, AND or AND_NOT: by the outermost operator, as formulas in prefix notation show it; an AND with a NOT anywhere is AND_NOT."""
+    if isinstance(node, Label):
+        return "SINGLE"
+    return "AND_NOT" if node.name == "AND" and any(o.name == "NOT" for o in _ops(node)) else node.name
 
 
 def _ops(node: Node) -> list[Op]:
@@ -136,11 +137,14 @@ def resolve(per_query: Column, default: Column, label: Column) -> Column:
     return F.coalesce(blank(per_query), blank(default), F.when(label >= 0, label.cast("string")))
 
 
-def representatives(filters: DataFrame) -> DataFrame:
-    """Of filters (formula, kind, selectivity): per kind the least, middle and most selective, without repeats."""
+def representatives(filters: DataFrame, most: int = 6) -> DataFrame:
+    """Of filters (formula, kind, selectivity): the least and the most selective AND and AND_NOT, the middle OR and NOT, without repeats."""
     from pyspark.sql import Window
 
     once = filters.dropDuplicates(["formula"])
     by = Window.partitionBy("kind")
     ranked = once.withColumns({"rank": F.row_number().over(by.orderBy("selectivity", "formula")), "n": F.count(F.lit(1)).over(by)})
-    return ranked.where((F.col("rank") == 1) | (F.col("rank") == F.col("n")) | (F.col("rank") == F.ceil(F.col("n") / 2))).drop("n")
+    ends = F.col("kind").isin("AND", "AND_NOT") & ((F.col("rank") == 1) | (F.col("rank") == F.col("n")))
+    middle = F.col("kind").isin("OR", "NOT") & (F.col("rank") == F.floor(F.col("n") / 2) + 1)
+    turn = F.element_at(F.create_map(*(x for k, v in {"AND": 0, "AND_NOT": 1, "OR": 2, "NOT": 3}.items() for x in (F.lit(k), F.lit(v)))), F.col("kind"))
+    return ranked.where(ends | middle).orderBy(turn, "rank").limit(most).drop("n")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vexil.lineage import cut
+
 #: The element types that .npy files may hold.
 NPY_TYPES = ("float32", "int32", "int64", "uint8")
 _VECTORS = "vec_id long, embedding array<float>"
@@ -122,15 +124,11 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return flat(spark.read.schema("query_id long, labels array<long>, distances array<double>").json(path))
 
 
-def write_clustered(vectors: DataFrame, path: str) -> None:
-    """One folder a cluster, rows by vec_id: a probe of few clusters reads few folders."""
-    vectors.repartition("cluster_id").sortWithinPartitions("cluster_id", "vec_id").write.mode("overwrite").partitionBy("cluster_id").parquet(path)
-
-
-def number_rows(rows: DataFrame, order: str) -> DataFrame:
-    """vec_id from 0 by order, without one task that sorts all: ranges are numbered apart and put in line."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
+def number_rows(rows: DataFrame, *order: str, name: str = "vec_id") -> DataFrame:
+    """Adds numbers from 0 by order, without one task that sorts all: ranges are numbered apart and put in line."""
+    # Kept, as ranges are drawn by sampling and both uses must see the same ones.
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
-    return ranged.withColumn("__r", place).join(F.broadcast(before), "__p").withColumn("vec_id", F.col("__r") + F.col("__before")).drop("__p", "__n", "__r", "__before")
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return ranged.withColumn("__r", place).join(F.broadcast(before), "__p").withColumn(name, F.col("__r") + F.col("__before")).drop("__p", "__n", "__r", "__before")
