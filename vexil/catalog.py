@@ -1,7 +1,8 @@
 """All queries of the vector engine, and the SQL that they are held against.
 
-The embeddings are the vectors, the first twenty of them the queries; grants are derived: a vector's label, 10 + vec_id % 7 and
-20 + vec_id % 3. Recorded runs are a table of recall and rate derived from the ids.
+The embeddings are the vectors, every twentieth of them (vec_id divisible by 20) a query against all; grants are derived: a vector's label,
+10 + vec_id % 7 and 20 + vec_id % 3. Recorded runs are a table of recall and rate derived from the ids. The codebook of the quantised
+searches with SQL has the slices of the labels' means; trained ones are in catalog_index.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexil.functions import distance, quantise
+from vexil.functions import distance
 from vexil.operators import access as acc
-from vexil.operators import cluster, evaluate, knn, workload
+from vexil.operators import cluster, evaluate, knn, quantiser, workload
 from vexil.plans import predicate
 from vexil.sources import formats
 
@@ -37,7 +38,7 @@ class Tables:
         parts = (F.col("label"), (10 + F.col("vec_id") % 7).cast("int"), (20 + F.col("vec_id") % 3).cast("int"))
         self.grants = self.rows.select("vec_id", F.explode(F.array(*parts)).alias("tid"))
         self.clustered = self.rows.select("vec_id", "embedding", F.col("label").alias("cluster_id"))
-        asked = self.rows.where("vec_id < 20")
+        asked = self.rows.where("vec_id % 20 = 0")
         self.queries = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
         self.labelled = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("tid"))
         self.runs = self.rows.select(F.col("vec_id").alias("run_id"), (F.col("vec_id") % 40 / 40.0).alias("recall"), (1000.0 / (1 + F.col("vec_id") * 37 % 101)).alias("qps"))
@@ -51,7 +52,7 @@ class Tables:
     def means(self) -> DataFrame:
         return cluster.centroids(self.clustered)
 
-    def probed(self, nprobe: int = 2) -> DataFrame:
+    def probed(self, nprobe: int = 9) -> DataFrame:
         return cluster.probe(self.queries, self.clustered, self.means(), nprobe, K)
 
 
@@ -62,7 +63,7 @@ def _dist(a: str, b: str, term: str = "({x} - {y}) * ({x} - {y})") -> str:
 
 WITH = f"""WITH access AS (SELECT vec_id, label AS tid FROM embeddings UNION ALL SELECT vec_id, CAST(10 + vec_id % 7 AS INT) FROM embeddings UNION ALL SELECT vec_id, CAST(20 + vec_id % 3 AS INT) FROM embeddings),
 lists AS (SELECT vec_id, list_sort(list_distinct(list(tid))) AS labels FROM access GROUP BY vec_id),
-queries AS (SELECT vec_id AS query_id, embedding AS q, label AS tid FROM embeddings WHERE vec_id < 20),
+queries AS (SELECT vec_id AS query_id, embedding AS q, label AS tid FROM embeddings WHERE vec_id % 20 = 0),
 pairs AS (SELECT query_id, vec_id, {_dist("embedding", "q")} AS dist FROM queries, embeddings),
 truth AS (SELECT query_id, vec_id, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM pairs QUALIFY rank <= {K}),
 spread AS (SELECT label, vec_id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings),
@@ -153,9 +154,9 @@ def _(t: Tables) -> DataFrame:
     return _near(knn.per_query_filter(t.queries.withColumn("filter_id", which), t.vectors, predicate.qualified(t.lists(), chosen), K))
 
 
-@register("filter_precedence", "SELECT query_id, CASE WHEN query_id % 4 = 0 THEN 'NOT 3' WHEN query_id % 4 = 1 THEN 'OR 1 11' WHEN query_id % 4 = 2 THEN CAST(tid AS VARCHAR) END AS formula FROM queries")
+@register("filter_precedence", "SELECT query_id, CASE WHEN query_id // 20 % 4 = 0 THEN 'NOT 3' WHEN query_id // 20 % 4 = 1 THEN 'OR 1 11' WHEN query_id // 20 % 4 = 2 THEN CAST(tid AS VARCHAR) END AS formula FROM queries")
 def _(t: Tables) -> DataFrame:
-    m = F.col("query_id") % 4
+    m = F.expr("query_id div 20 % 4")
     own, default = F.when(m == 0, "NOT 3").when(m == 1, " "), F.when(m <= 1, "OR 1 11")
     return t.labelled.select("query_id", predicate.resolve(own, default, F.when(m == 2, F.col("tid")).otherwise(-1)).alias("formula"))
 
@@ -172,9 +173,9 @@ _PRODUCTS = {"dot": _dist("embedding", "q", "{x} * {y}"), "aa": _dist("embedding
 def _metric_query(name: str, expression: str, metric: str) -> None:
     body = expression.format(**_PRODUCTS) if "{dot}" in expression else expression
 
-    @register(f"knn_{name}", f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS INT) AS rank, vec_id, dist FROM (SELECT query_id, vec_id, round({body}, 9) AS dist FROM queries, embeddings) QUALIFY rank <= {K}")
+    @register(f"knn_{name}", f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS INT) AS rank, vec_id, dist FROM (SELECT query_id, vec_id, round({body}, 9) + CAST(0 AS DOUBLE) AS dist FROM queries, embeddings) QUALIFY rank <= {K}")
     def _(t: Tables) -> DataFrame:
-        pairs = knn._scored(knn.meet(t.queries, t.vectors), distance.METRICS[metric]).withColumn("dist", F.round("dist", 9))
+        pairs = knn._scored(knn.meet(t.queries, t.vectors), distance.METRICS[metric]).withColumn("dist", F.round("dist", 9) + 0.0)
         return knn.top_k(pairs, K).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "dist")
 
 
@@ -186,7 +187,7 @@ for _name, (_sql, _metric) in _METRICS.items():
 def _(t: Tables) -> DataFrame:
     halves = [F.slice("embedding", 1, 32).alias("e1"), F.slice("embedding", 33, 32).alias("e2")]
     vectors = t.vectors.select("vec_id", *halves)
-    asked = vectors.where("vec_id < 20").toDF("query_id", "q1", "q2")
+    asked = vectors.where("vec_id % 20 = 0").toDF("query_id", "q1", "q2")
     return _near(knn.weighted(asked, vectors, [("e1", "q1", 0.7), ("e2", "q2", 0.3)], K))
 
 
@@ -293,7 +294,7 @@ def _(t: Tables) -> DataFrame:
     return cluster.assign(t.vectors, t.means()).withColumn("dist", F.round("dist", 6))
 
 
-@register("ivf_probe_knn", _ranked(f"SELECT query_id, e.vec_id, {_dist('e.embedding', 'q')} AS dist FROM queries JOIN (SELECT vec_id AS query_id, cluster_id FROM ({_NEAREST}) WHERE vec_id < 20 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), cluster_id) <= 2) USING (query_id) JOIN embeddings e ON e.label = cluster_id"))
+@register("ivf_probe_knn", _ranked(f"SELECT query_id, e.vec_id, {_dist('e.embedding', 'q')} AS dist FROM queries JOIN (SELECT vec_id AS query_id, cluster_id FROM ({_NEAREST}) WHERE vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), cluster_id) <= 9) USING (query_id) JOIN embeddings e ON e.label = cluster_id"))
 def _(t: Tables) -> DataFrame:
     return _near(t.probed())
 
@@ -313,41 +314,40 @@ def _(t: Tables) -> DataFrame:
     return cluster.heads(t.clustered, t.means())
 
 
-_CODES = f"""codes AS (SELECT vec_id, p, arg_min(c, (d, c)) AS code FROM (SELECT v.vec_id, p, b.vec_id AS c, {_dist('v.embedding[4 * p + 1 : 4 * p + 4]', 'b.embedding[4 * p + 1 : 4 * p + 4]')} AS d
-  FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 16) b, range(0, 16) r(p)) GROUP BY ALL)"""
-_ADC = f"""{_CODES}, cells AS (SELECT q.query_id, p, b.vec_id AS code, {_dist('q.q[4 * p + 1 : 4 * p + 4]', 'b.embedding[4 * p + 1 : 4 * p + 4]')} AS d FROM queries q, (SELECT * FROM embeddings WHERE vec_id < 16) b, range(0, 16) r(p)),
+_CODES = f"""codes AS (SELECT vec_id, p, arg_min(c, (round(d, 9), c)) AS code FROM (SELECT v.vec_id, p, b.cluster_id AS c, {_dist('v.embedding[4 * p + 1 : 4 * p + 4]', 'b.centroid[4 * p + 1 : 4 * p + 4]')} AS d
+  FROM embeddings v, means b, range(0, 16) r(p)) GROUP BY ALL)"""
+_ADC = f"""{_CODES}, cells AS (SELECT q.query_id, p, b.cluster_id AS code, {_dist('q.q[4 * p + 1 : 4 * p + 4]', 'b.centroid[4 * p + 1 : 4 * p + 4]')} AS d FROM queries q, means b, range(0, 16) r(p)),
 approx AS (SELECT query_id, vec_id, round(sum(d), 6) AS dist FROM codes JOIN cells USING (p, code) GROUP BY ALL)"""
 
 
-def _book(t: Tables) -> DataFrame:
-    """One row: 16 parts of 16 centroids, the slices of the first 16 vectors."""
-    first = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
-    rows = t.vectors.where("vec_id < 16").agg(first.alias("f"))
-    return rows.select(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: F.transform("f", lambda x: F.slice(x["embedding"], p * 4 + 1, F.lit(4)))).alias("book"))
+def _book(t: Tables) -> quantiser.Book:
+    """16 parts, each with the slices of the labels' means (in the order of the labels, from 0)."""
+    rows = t.means().orderBy("cluster_id").collect()  # one a label
+    return quantiser.Book.of_centroids([r["centroid"] for r in rows], 16)
 
 
 def _codes(t: Tables) -> DataFrame:
-    return t.vectors.crossJoin(F.broadcast(_book(t))).select("vec_id", quantise.encode(F.col("embedding"), F.col("book"), 4).alias("codes"))
+    return quantiser.encode(t.vectors, _book(t), digits=9)
 
 
-def _adc(t: Tables) -> DataFrame:
-    asked = t.queries.crossJoin(F.broadcast(_book(t))).select("query_id", quantise.tables(F.col("q"), F.col("book"), 4).alias("q"))
-    return knn.meet(asked, _codes(t)).select("query_id", "vec_id", F.round(quantise.adc(F.col("q"), F.col("codes")), 6).alias("dist"))
+def _adc(t: Tables, k: int) -> DataFrame:
+    book = _book(t)
+    return quantiser.adc_search(t.queries, quantiser.encode(t.vectors, book, digits=9), book, k, digits=6)
 
 
 @register("pq_encode_fixed_codebook", f", {_CODES} SELECT vec_id, CAST(p AS INT) AS part, CAST(code AS INT) AS code FROM codes")
 def _(t: Tables) -> DataFrame:
-    return _codes(t).select("vec_id", F.posexplode("codes").alias("part", "code"))
+    return quantiser.spelled(_codes(t))
 
 
 @register("adc_topk", f", {_ADC} {_ranked('SELECT * FROM approx', 40)}")
 def _(t: Tables) -> DataFrame:
-    return _near(knn.top_k(_adc(t), 40))
+    return _near(_adc(t, 40))
 
 
-@register("adc_rerank", f", {_ADC}, short AS ({_ranked('SELECT * FROM approx', 40)}) {_ranked('SELECT query_id, vec_id, p.dist FROM short JOIN pairs p USING (query_id, vec_id)')}")
+@register("adc_rerank", f", {_ADC}, short AS ({_ranked('SELECT * FROM approx', 400)}) {_ranked('SELECT query_id, vec_id, p.dist FROM short JOIN pairs p USING (query_id, vec_id)')}")
 def _(t: Tables) -> DataFrame:
-    short = knn.top_k(_adc(t), 40).select("query_id", "vec_id")
+    short = _adc(t, 400).select("query_id", "vec_id")
     full = short.join(t.vectors, "vec_id").join(t.queries, "query_id")
     return _near(knn.top_k(knn._scored(full, distance.l2_squared), K))
 
@@ -358,39 +358,6 @@ def _(t: Tables) -> DataFrame:
     return cluster.neighbour_graph(t.vectors, 8).select("src", F.col("rank").cast("int").alias("rank"), "dst", F.round("dist", 6).alias("dist"))
 
 
-
-@register("graph_pruned")
-def _(t: Tables) -> DataFrame:
-    return cluster.pruned(cluster.neighbour_graph(t.vectors, 8), t.vectors)
-
-
-@register("kmeans_model")
-def _(t: Tables) -> DataFrame:
-    means, assigned = cluster.kmeans(t.vectors, 8, 4)
-    return assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("inertia"))
-
-
-@register("tree_beam_knn")
-def _(t: Tables) -> DataFrame:
-    nodes, paths = cluster.tree(t.vectors)
-    return _near(cluster.beam(t.queries, t.vectors, nodes, paths, 6, K))
-
-
-@register("spann_like")
-def _(t: Tables) -> DataFrame:
-    chosen = cluster.heads(t.clustered, t.means()).join(t.vectors, F.col("head_id") == F.col("vec_id")).select("cluster_id", F.col("embedding").alias("centroid"))
-    lists = cluster.postings(t.vectors, chosen).join(t.vectors, "vec_id")
-    return _near(cluster.probe(t.queries, lists, chosen, 4, K))
-
-
-@register("frontier_search")
-def _(t: Tables) -> DataFrame:
-    sized = cluster.node_stats(t.clustered, t.means()).join(t.means().select("cluster_id", "centroid"), "cluster_id")
-    visits = cluster.frontier(t.queries, sized, 0.4, 150)
-    pairs = visits.join(t.clustered, "cluster_id").join(t.queries, "query_id")
-    return _near(knn.top_k(knn._scored(pairs.drop("cluster_id"), distance.l2_squared), K))
-
-
 # Evaluation
 
 
@@ -479,12 +446,12 @@ def _(t: Tables) -> DataFrame:
     return evaluate.upsert(t.runs, new, "run_id")
 
 
-@register("reevaluate_runs", f"SELECT run, round(avg(hits / {K}.0), 9) AS recall FROM (SELECT query_id % 4 AS run, query_id, count(*) FILTER (WHERE label = query_id % 10 OR vec_id % 2 = 0) AS hits FROM truth JOIN embeddings USING (vec_id) GROUP BY ALL) GROUP BY run")
+@register("reevaluate_runs", f"SELECT run, round(avg(hits / {K}.0), 9) AS recall FROM (SELECT query_id // 20 % 4 AS run, query_id, count(*) FILTER (WHERE label = query_id % 10 OR vec_id % 2 = 0) AS hits FROM truth JOIN embeddings USING (vec_id) GROUP BY ALL) GROUP BY run")
 def _(t: Tables) -> DataFrame:
     truth = knn.unfiltered(t.queries, t.vectors, K)
     stored = formats.nested(truth.join(t.rows.select("vec_id", "label"), "vec_id").where("label = query_id % 10 or vec_id % 2 = 0"))
     scored = evaluate.recall(t.queries, formats.flat(stored), truth)
-    return scored.groupBy((F.col("query_id") % 4).alias("run")).agg(F.round(F.avg("recall"), 9).alias("recall"))
+    return scored.groupBy(F.expr("query_id div 20 % 4").alias("run")).agg(F.round(F.avg("recall"), 9).alias("recall"))
 
 
 @register("three_buckets", "SELECT DISTINCT l_linenumber AS bucket FROM lineitem WHERE l_linenumber IN (1, 4, 7)")
@@ -508,13 +475,6 @@ def _(t: Tables) -> DataFrame:
     return workload.scaled_counts(workload.zipf(t.spark, 20, 0.85, 0.0, 1.0), 1000)
 
 
-
-@register("synthetic_labels")
-def _(t: Tables) -> DataFrame:
-    drawn = workload.bernoulli(t.vectors, workload.zipf(t.spark, 20, 1.0, 0.01, 0.5))
-    return drawn.groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("soft_labels", f"SELECT vec_id, cluster_id AS tid FROM ({_NEAREST}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), cluster_id) <= 3")
 def _(t: Tables) -> DataFrame:
     return cluster.assign(t.vectors, t.means(), 3).select("vec_id", F.col("cluster_id").alias("tid"))
