@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from vexil.sources import formats
+from vexil.sources import formats, truth
 from vexil.streaming import updates
 
 
@@ -31,3 +32,84 @@ def test_stream_and_batch_end_alike(spark, tmp_path):
     kept = updates.read_log(spark, str(tmp_path / "log"))
     assert {(r.vec_id, r.cluster_id) for r in updates.live_vectors(kept).collect()} == {(2, 1), (3, 1)}
     assert [tuple(r) for r in updates.live_access(kept.select("vec_id", "tid").limit(0), kept).collect()] == [(3, 7)]
+
+
+def test_truth_files(spark, tmp_path):
+    ids = np.array([[3, 1, 2], [5, -1, -1], [7, 8, 9]], np.int32)
+    want = [(q, r + 1, int(v)) for q, row in enumerate(ids) for r, v in enumerate(row) if v >= 0]
+    (tmp_path / "t.ivecs").write_bytes(b"".join(np.int32(3).tobytes() + r.tobytes() for r in ids))
+    (tmp_path / "t.bin").write_bytes(np.array([3, 3], "<i4").tobytes() + ids.tobytes())
+    (tmp_path / "t.txt").write_text("".join(" ".join(map(str, r)) + " \n" for r in ids))
+    for kind, name in (("xvec", "t.ivecs"), ("default", "t.bin"), ("TXT", "t.txt")):
+        assert sorted(tuple(r) for r in truth.read(spark, str(tmp_path / name), kind).collect()) == want
+        assert truth.read(spark, str(tmp_path / name), kind, 1).count() == 3
+        with pytest.raises(Exception, match="too few ids|rows have 3 ids"):
+            truth.read(spark, str(tmp_path / name), kind, 4).collect()
+    with pytest.raises(ValueError):
+        truth.read(spark, "x", "other")
+    df = spark.createDataFrame(want, "query_id long, rank int, vec_id long")
+    truth.write_text(df, str(tmp_path / "out"), 3)
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["3 1 2", "5 -1 -1", "7 8 9"]
+
+
+def test_damaged_files_raise(spark, tmp_path):
+    (tmp_path / "a.fvecs").write_bytes(np.int32(3).tobytes() + b"12345678")
+    with pytest.raises(Exception, match="cut off"):
+        formats.read_xvecs(spark, str(tmp_path / "a.fvecs")).collect()
+    np.save(tmp_path / "c.npy", np.array([1 + 2j]))
+    with pytest.raises(Exception, match="isn't read"):
+        formats.read_npy(spark, str(tmp_path / "c.npy")).collect()
+
+
+def test_captions_queries_and_export(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text("a\tb\tc\n \tx\ty\nq\t\tr\n\t\t\n")
+    assert sorted(r.text for r in formats.read_captions(spark, str(tmp_path / "c.tsv"), ["a", "b", "c"]).collect()) == ["q", "x"]
+    lines = spark.createDataFrame([("$k:10 $meta:x:y 1|2.5|3",), ("#AQI=",)], "value string")
+    rows = formats.parse_queries(lines).collect()
+    assert rows[0].options == {"k": "10", "meta": "x:y"} and rows[0].q == [1.0, 2.5, 3.0] and rows[0].packed is None
+    assert bytes(rows[1].packed) == b"\x01\x02" and rows[1].q is None
+    vectors = spark.createDataFrame([(1, [3.0, 4.0]), (0, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    formats.write_npy(vectors, str(tmp_path / "v.npy"))
+    assert np.load(tmp_path / "v.npy").tolist() == [[1.0, 2.0], [3.0, 4.0]]
+
+
+def test_postings_follow_a_stream(spark, tmp_path):
+    means = spark.createDataFrame([(0, [0.0, 0.0]), (1, [10.0, 0.0]), (2, [0.0, 10.0])], "cluster_id int, centroid array<double>")
+    log = [("insert", 1, 1, None, [5.0, 0.1]), ("insert", 2, 2, None, [0.0, 0.0]), ("insert", 3, 1, None, [0.0, 9.0]), ("insert", 4, 3, None, [4.9, 4.9]), ("delete", 5, 2, None, None)]
+    spark.createDataFrame(log, updates.CHANGES).repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(updates.CHANGES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    updates.follow_postings(stream, means, str(tmp_path / "p"), str(tmp_path / "cp"), 3).awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "p"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    live = {(r.vec_id, r.cluster_id) for r in updates.live_postings(rows, batch).collect()}
+    assert {v for v, _ in live} == {1, 3} and {c for v, c in live if v == 1} == {0, 2} and (3, 0) in live
+
+
+def test_snapshots(spark, tmp_path):
+    early = [("insert", 1, 1, None, [1.0]), ("insert", 2, 2, None, [2.0]), ("grant", 3, 1, 5, None), ("grant", 4, 2, 5, None)]
+    late = [("delete", 5, 1, None, None), ("insert", 6, 2, None, [3.0]), ("revoke", 7, 2, 5, None), ("insert", 8, 4, None, [4.0]), ("grant", 9, 4, 6, None)]
+    log = spark.createDataFrame(early, updates.CHANGES).selectExpr("*", "0 as cluster_id")
+    whole = spark.createDataFrame(early + late, updates.CHANGES).selectExpr("*", "0 as cluster_id")
+    none = whole.select("vec_id", "tid").limit(0)
+    assert updates.snapshot(log, none, str(tmp_path / "s")) == 4
+    vectors, access = updates.restore(spark, str(tmp_path / "s"), whole)
+    assert {(r.vec_id, r.embedding[0]) for r in vectors.collect()} == {(r.vec_id, r.embedding[0]) for r in updates.live_vectors(whole).collect()} == {(2, 3.0), (4, 4.0)}
+    assert {tuple(r) for r in access.collect()} == {tuple(r) for r in updates.live_access(none, whole).collect()} == {(1, 5), (4, 6)}
+
+
+def test_compaction_splits_merges_and_places(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=2) + [20 * (i % 2), 0]).tolist(), 0) for i in range(200)] + [(1000, [50.0, 50.0], 7)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cluster_id int")
+    means = spark.createDataFrame([(0, [10.0, 0.0]), (7, [50.0, 50.0]), (8, [90.0, 90.0])], "cluster_id int, centroid array<double>")
+    moved, placed = updates.compact(vectors, means, 150, 1)
+    sizes = {r.cluster_id: r["count"] for r in placed.groupBy("cluster_id").count().collect()}
+    assert sorted(sizes.values()) == [1, 100, 100] and 8 not in sizes
+    assert updates.misplaced(placed, moved).count() == 0
+    assert updates.compact(vectors, means, 1000, 500)[1].count() == 201
+
+
+def test_late_events_are_counted_apart(spark, tmp_path):
+    rows = [("2024-01-01 10:05:00", "a"), ("2024-01-01 10:50:00", "a"), ("2024-01-01 11:10:00", "b")]
+    df = spark.createDataFrame(rows, "ts string, event_type string").selectExpr("cast(ts as timestamp) ts", "event_type")
+    assert sorted((r.start.hour, r.event_type, r.n) for r in updates.late_counts(df).collect()) == [(10, "a", 2), (11, "b", 1)]

@@ -27,7 +27,8 @@ def test_malformed_raises(formula):
 
 def test_spellings_and_kinds():
     assert parse("∧ 1 ¬ 2") == parse("& 1 (! 2)") == parse("AND 1 NOT 2")
-    assert [classify(parse(f)) for f in ("1", "NOT 1", "AND 1 2", "AND 1 NOT 2", "OR 1 NOT 2")] == ["SINGLE", "NOT", "AND", "AND_NOT", "OR"]
+    formulas = ("1", "NOT 1", "AND 1 2", "AND 1 NOT 2", "OR 1 NOT 2", "AND 1 OR 2 3", "NOT AND 1 2", "AND OR 1 2 NOT 3")
+    assert [classify(parse(f)) for f in formulas] == ["SINGLE", "NOT", "AND", "AND_NOT", "OR", "AND", "NOT", "AND_NOT"]
 
 
 def test_columns_follow_evaluate(spark):
