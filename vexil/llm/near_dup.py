@@ -42,7 +42,8 @@ from vexil.llm.ragged import doc_of, hash_words, mix, text_blocks
 from vexil.llm.shared import cut, small_batches, tasks_for
 
 SHINGLE = 5
-COMMON = 0.1
+#: Shingles in a smaller share of all documents weigh alike: there are too many of them to send their counts to every task.
+COMMON = 0.001
 BANDS, ROWS = 12, 3
 #: Groups of more members compare only texts that share a difference from the lead.
 SMALL_GROUP = 16
