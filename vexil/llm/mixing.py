@@ -8,8 +8,9 @@ source at a time. A source that runs out leaves its slots empty: all documents s
 first source ends, the mix is exact (in_mix).
 
 Defined cases: a null source is a source of its own; null ids and repeated rows get places of their own, in any order
-among themselves; an empty table gives no row; texts aren't read; sources without a weight, or weights that aren't positive,
-raise ValueError; sources without documents count for nothing.
+among themselves, and are spread over tasks however many there are; an empty table gives no row; texts aren't read; sources without a weight, or
+weights that aren't positive, raise ValueError; sources without documents count for nothing; other columns stay, whatever their names, but for those of
+the added names, which are replaced.
 """
 
 from __future__ import annotations
@@ -90,7 +91,6 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     spark = docs.sparkSession
     added = ("block", "release", "deadline", "slot", "place", "in_mix")
     docs = docs.drop(*added)
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     counted = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(counted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -112,15 +112,32 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     name = lambda x: "-" if x is None else f"+{x}"
     numbers = spark.createDataFrame([(name(x), k) for k, x in enumerate(names)], "__s string, __k int")
     digits = max(1, math.ceil(math.log(max(1, max(counts.values()) / _ROWS), 16)))
-    # A source's order is that of the md5 of the ids; buckets of its first digits are ranked apart and then put in line.
-    source = F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))
-    dealt = docs.withColumns({"__s": source, "__key": key, "__bucket": F.substring(key, 1, digits)})
-    sizes = dealt.groupBy("__s", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    line = Window.partitionBy("__s").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("__s", "__bucket", F.coalesce(F.sum("__n").over(line), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__s", "__bucket").orderBy("__key", "doc_id")) - 1
-    placed = dealt.withColumn("__rank", rank).join(before, ["__s", "__bucket"]).withColumn("__place", F.col("__rank") + F.col("__before"))
-    placed = placed.withColumns({"block": F.floor(F.col("__place") / block), "place": (F.col("__place") % block).cast("int")})
-    placed = placed.join(F.broadcast(numbers), "__s").withColumn("__block", F.col("block"))
+    # A source's order is that of the md5 of the ids; buckets of its first digits are ranked apart and then put in line. All columns travel as
+    # one, so that no name of theirs can clash.
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    key = F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")))
+    source = F.coalesce(F.concat(F.lit("+"), docs["source"]), F.lit("-"))
+    dealt = docs.select(row, source.alias("s"), key.alias("key")).withColumn("bucket", F.substring("key", 1, digits))
+    dealt, by = _split(dealt), ["s", "bucket", "part"]
+    sizes = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    line = Window.partitionBy("s").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*by, F.coalesce(F.sum("n").over(line), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("key", "row.doc_id")) - 1
+    placed = dealt.withColumn("rank", rank).join(before, by).select("row", "s", (F.col("rank") + F.col("before")).alias("at"))
+    placed = placed.select("row", "s", F.floor(F.col("at") / block).alias("__block"), (F.col("at") % block).cast("int").alias("place"))
+    placed = placed.join(F.broadcast(numbers), placed["s"] == numbers["__s"])
     out = placed.join(F.broadcast(plan) if sum(blocks) <= SENT_BLOCKS else plan, ["__k", "__block"])
-    return out.select(*docs.columns, "block", F.col("__r").alias("release"), F.col("__d").alias("deadline"), F.col("__slot").alias("slot"), "place", (F.col("__slot") < horizon).alias("in_mix"))
+    last = [F.col("__block").alias("block"), F.col("__r").alias("release"), F.col("__d").alias("deadline"), F.col("__slot").alias("slot"), "place", (F.col("__slot") < horizon).alias("in_mix")]
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *last)
+
+
+def _split(dealt: DataFrame) -> DataFrame:
+    """Adds part: rows of one key are in one bucket, and a bucket that has many more than others falls into parts, by the number of the row. There are at
+    most as many of these as rows / (4 * _ROWS)."""
+    hot = dealt.groupBy("s", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * _ROWS)
+    hot = cut(hot.select("s", "bucket", F.ceil(F.col("n") / _ROWS).alias("parts")))
+    if hot.isEmpty():
+        return dealt.withColumn("part", F.lit(0).cast("long"))
+    number = F.pmod(F.monotonically_increasing_id(), F.col("parts"))
+    # Kept, as a row that is read again must have the same part.
+    return cut(dealt.join(F.broadcast(hot), ["s", "bucket"], "left").withColumn("part", F.coalesce(number, F.lit(0).cast("long"))).drop("parts"))
