@@ -2,17 +2,95 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import random
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vexil.llm import line_dedup, mixing, near_dup
 
 
+def _dealt(weights: list[int], blocks: list[int]) -> list[tuple[int, int, int]]:
+    """(slot, source, block) by looking at every block for every slot."""
+    total = sum(weights)
+    left = {(k, i): (Fraction(i * total, w).__floor__(), Fraction((i + 1) * total, w).__ceil__()) for k, (w, n) in enumerate(zip(weights, blocks)) for i in range(n)}
+    out, slot = [], 0
+    while left:
+        free = [(due, k, i) for (k, i), (release, due) in left.items() if release <= slot]
+        if free:
+            _, k, i = min(free)
+            del left[k, i]
+            out.append((slot, k, i))
+        slot += 1
+    return out
+
+
+@given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 9)), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_schedule_against_every_slot(sources):
+    weights, blocks = zip(*sources)
+    got = [(slot, k, i) for k, i, _, _, slot, _ in mixing.schedule(list(weights), sum(weights), list(blocks))]
+    assert got == _dealt(list(weights), list(blocks))
+
+
+def test_mix_against_a_plain_one(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(500)]
+    weights = {"a": 0.5, "b": 0.25, "c": 0.125, None: 0.125}
+    names = sorted(weights, key=lambda x: (x is not None, x or ""))
+    lines = {x: sorted((i for i, s in rows if s == x), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for x in names}
+    slots = {(names[k], i): slot for slot, k, i in _dealt([int(weights[x] * 8) for x in names], [-(-len(lines[x]) // 7) for x in names])}
+    want = {i: (x, slots[x, at // 7], at % 7) for x, line in lines.items() for at, i in enumerate(line)}
+    docs = spark.createDataFrame([(*r, "k", "r") for r in rows], "doc_id long, source string, __k string, row string")
+    out = mixing.mix_sources(docs, weights, block=7)
+    assert out.columns[:4] == docs.columns
+    assert {r["doc_id"]: (r["source"], r["slot"], r["place"]) for r in out.collect()} == want
+
+
+def test_many_rows_of_one_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_ROWS", 20)
+    rows = [(None, "a", i) for i in range(300)] + [(7, "a", 0)] * 200 + [(i, "b" if i % 2 else "a", 0) for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    out = mixing.mix_sources(docs, block=10).collect()
+    assert Counter((r["doc_id"], r["source"], r["n"]) for r in out) == Counter(rows)
+    assert max(Counter((r["source"], r["slot"], r["place"]) for r in out).values()) == 1
+    for source, n in Counter(s for _, s, _ in rows).items():
+        assert {(r["block"], r["place"]) for r in out if r["source"] == source} == {(i // 10, i % 10) for i in range(n)}
+    parts = mixing._split(docs.select(F.struct("doc_id").alias("row"), F.lit("+a").alias("s"), F.lit("k").alias("key"), F.lit("0").alias("bucket")))
+    assert parts.groupBy("part").count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+    from vexil.llm.shared import shared_dir
+
+    base = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, None, None, "a", None), (2, "", "en", "a", 0), (3, base, "en", None, 1), (3, base, "en", None, 1), (4, base + " more", "en", "a", 1), (5, "x" * 100_000, "en", "b", 1), (None, "some other text", None, "b", 1)]
+    rows += [(6, "a passage of the benchmark that is long enough to be found here again and again", "en", "a", 1), (3, "the same id but another text", "en", "a", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, row string"
+    spark.createDataFrame([(*r, "s", "r") for r in rows], schema).write.parquet(str(tmp_path / "odd/documents.parquet"))
+    spark.createDataFrame([(1, "passage of the benchmark that is long enough to be found here again and again")], "item_id long, text string").write.parquet(str(tmp_path / "odd/benchmark.parquet"))
+    spark.createDataFrame([(3, 0), (None, 1), (99, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "odd/labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    kept = Counter((r["doc_id"], r["text"]) for r in out)
+    # Of 3 and 4, which are near copies, the first stays, and 6 holds a passage of the benchmark.
+    assert kept == Counter([(1, None), (2, ""), (3, base), (3, base), (3, "the same id but another text"), (5, "x" * 100_000), (None, "some other text")])
+    for t in ("documents", "benchmark", "labels"):
+        spark.read.parquet(str(tmp_path / f"odd/{t}.parquet")).limit(0).write.parquet(str(tmp_path / f"none/{t}.parquet"))
+    before = set(os.listdir(shared_dir(spark)))
+    empty = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and set(corpus_pipeline.COLUMNS) <= set(empty.columns)
+    new = [x for x in set(os.listdir(shared_dir(spark))) - before if x.startswith("corpus-")]
+    assert len(new) == 1 and len(os.listdir(f"{shared_dir(spark)}/{new[0]}")) == 1
+
+
 def _similar(texts: list[str], weights: near_dup.Weights, i: int, j: int) -> bool:
     ids, count, ends, _ = near_dup.shingles(pa.array([texts[i], texts[j]]))
     w, at = weights(ids, count), ends[1]
