@@ -127,15 +127,14 @@ def common_shingles(docs: DataFrame) -> Weights:
         total = np.zeros(step, np.int64)
         for x in pdf["blob"]:
             total += np.frombuffer(pa.decompress(x, 4 * step, codec="zstd", asbytes=True), np.uint32)
-        return pd.DataFrame({"bucket": np.flatnonzero(total > least) + key[0] * step})
+        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(total > least).tobytes()]})
 
     texts = docs.select("text")
-    rows = texts.mapInArrow(bucket_counts, "slice int, blob binary").groupBy("slice").applyInPandas(add, "bucket long").toPandas()  # 2**20 at most
-    flags = np.zeros(size, bool)
-    flags[rows["bucket"].to_numpy(np.int64)] = True
+    rows = texts.mapInArrow(bucket_counts, "slice int, blob binary").groupBy("slice").applyInPandas(add, "slice int, bits binary").collect()  # 128 KB
+    flags = np.frombuffer(b"".join(bytes(r["bits"]) for r in sorted(rows, key=lambda r: r["slice"])), np.uint8)
     if not flags.any():
         return Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), n)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+    shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.unpackbits(shared.value).astype(bool)
@@ -147,8 +146,15 @@ def common_shingles(docs: DataFrame) -> Weights:
             ids, count = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(count)], ["id", "n"])
 
-    counts = texts.mapInArrow(exact, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") > least).toPandas()
-    return Weights(counts["id"].to_numpy(np.int64).astype(np.uint64), counts["n"].to_numpy(np.int64), n)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                yield pa.RecordBatch.from_arrays([pa.array([b[x].to_numpy().tobytes()], pa.binary()) for x in ("id", "n")], ["id", "n"])
+
+    counts = texts.mapInArrow(exact, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    packed = counts.mapInArrow(pack, "id binary, n binary").collect()  # 16 bytes for each common shingle
+    ids, found = (np.frombuffer(b"".join(bytes(r[x]) for r in packed), np.int64) for x in ("id", "n"))
+    return Weights(ids.astype(np.uint64), found, n)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
