@@ -34,6 +34,7 @@ MOST_SOURCES = 100_000
 #: A schedule of so many blocks may be sent to every task; a longer one is joined by a shuffle.
 SENT_BLOCKS = 1_000_000
 _ROWS = 50_000  # wished for in a bucket of the order, and in a batch of the schedule
+_LEAST_ROWS = 256
 _NAMES, _TYPES = ("__k", "__block", "__r", "__d", "__slot", "__ends"), (pa.int32(), *[pa.int64()] * 4, pa.bool_())
 
 
@@ -110,32 +111,34 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     horizon = plan.where("__ends").agg(F.min("__slot").alias("slot")).first()["slot"] + 1
     plan = plan.drop("__ends")
     name = lambda x: "-" if x is None else f"+{x}"
-    numbers = spark.createDataFrame([(name(x), k) for k, x in enumerate(names)], "__s string, __k int")
-    digits = max(1, math.ceil(math.log(max(1, max(counts.values()) / _ROWS), 16)))
+    # A source's rows are ranked in buckets of about `wish` at most, of which a large source has more.
+    wish = min(_ROWS, max(_LEAST_ROWS, sum(counts.values()) // 1024))
+    digits = [max(1, math.ceil(math.log(max(1, counts[x] / wish), 16))) for x in names]
+    numbers = spark.createDataFrame([(name(x), k, digits[k]) for k, x in enumerate(names)], "s string, __k int, digits int")
     # A source's order is that of the md5 of the ids; buckets of its first digits are ranked apart and then put in line. All columns travel as
     # one, so that no name of theirs can clash.
     row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
     key = F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")))
     source = F.coalesce(F.concat(F.lit("+"), docs["source"]), F.lit("-"))
-    dealt = docs.select(row, source.alias("s"), key.alias("key")).withColumn("bucket", F.substring("key", 1, digits))
-    dealt, by = _split(dealt), ["s", "bucket", "part"]
+    dealt = docs.select(row, source.alias("s"), key.alias("key")).join(F.broadcast(numbers), "s")
+    dealt = dealt.select("row", "s", "__k", "key", F.substring("key", F.lit(1), F.col("digits")).alias("bucket"))
+    dealt, by = _split(dealt, wish), ["s", "bucket", "part"]
     sizes = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     line = Window.partitionBy("s").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(*by, F.coalesce(F.sum("n").over(line), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("key", "row.doc_id")) - 1
-    placed = dealt.withColumn("rank", rank).join(before, by).select("row", "s", (F.col("rank") + F.col("before")).alias("at"))
-    placed = placed.select("row", "s", F.floor(F.col("at") / block).alias("__block"), (F.col("at") % block).cast("int").alias("place"))
-    placed = placed.join(F.broadcast(numbers), placed["s"] == numbers["__s"])
+    placed = dealt.withColumn("rank", rank).join(before, by).select("row", "__k", (F.col("rank") + F.col("before")).alias("at"))
+    placed = placed.select("row", "__k", F.floor(F.col("at") / block).alias("__block"), (F.col("at") % block).cast("int").alias("place"))
     out = placed.join(F.broadcast(plan) if sum(blocks) <= SENT_BLOCKS else plan, ["__k", "__block"])
     last = [F.col("__block").alias("block"), F.col("__r").alias("release"), F.col("__d").alias("deadline"), F.col("__slot").alias("slot"), "place", (F.col("__slot") < horizon).alias("in_mix")]
     return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *last)
 
 
-def _split(dealt: DataFrame) -> DataFrame:
-    """Adds part: rows of one key are in one bucket, and a bucket that has many more than others falls into parts, by the number of the row. There are at
-    most as many of these as rows / (4 * _ROWS)."""
-    hot = dealt.groupBy("s", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * _ROWS)
-    hot = cut(hot.select("s", "bucket", F.ceil(F.col("n") / _ROWS).alias("parts")))
+def _split(dealt: DataFrame, wish: int) -> DataFrame:
+    """Adds part: rows of one key are in one bucket, and a bucket that has many more than `wish` falls into parts, by the number of the row. There are at
+    most as many such buckets as rows / (4 * wish)."""
+    hot = dealt.groupBy("s", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * wish)
+    hot = cut(hot.select("s", "bucket", F.ceil(F.col("n") / wish).alias("parts")))
     if hot.isEmpty():
         return dealt.withColumn("part", F.lit(0).cast("long"))
     number = F.pmod(F.monotonically_increasing_id(), F.col("parts"))
