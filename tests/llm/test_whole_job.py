@@ -63,7 +63,7 @@ def test_many_rows_of_one_id_are_spread(spark, monkeypatch):
     assert max(Counter((r["source"], r["slot"], r["place"]) for r in out).values()) == 1
     for source, n in Counter(s for _, s, _ in rows).items():
         assert {(r["block"], r["place"]) for r in out if r["source"] == source} == {(i // 10, i % 10) for i in range(n)}
-    parts = mixing._split(docs.select(F.struct("doc_id").alias("row"), F.lit("+a").alias("s"), F.lit("k").alias("key"), F.lit("0").alias("bucket")))
+    parts = mixing._split(docs.select(F.struct("doc_id").alias("row"), F.lit("+a").alias("s"), F.lit("k").alias("key"), F.lit("0").alias("bucket")), 20)
     assert parts.groupBy("part").count().agg(F.max("count")).first()[0] <= 40
 
 

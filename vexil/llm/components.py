@@ -1,4 +1,8 @@
-"""Connected components of a link table, without gathering links in one place."""
+"""Connected components of a link table, without gathering links in one place.
+
+Defined cases: links without an a or a b count for nothing; a link of an id to itself makes it a class of its own; repeated links change nothing; an empty
+table gives no row; other columns are not read.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round sends every id the smallest class among its neighbours and itself, and then the class of that class; the
     number of rounds grows with the logarithm of a class's diameter. Ends when no class changes. Empty links give no row.
     """
+    links = links.select("a", "b").dropna()
     n = 2 * links.count()
     links = links.coalesce(tasks_for(n))
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), n)

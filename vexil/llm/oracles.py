@@ -35,4 +35,16 @@ FROM b WHERE k >= ceil(win * 80 / 100.0) GROUP BY doc_id, item_id
 """
 
 
-SQL = {"op2_line_dedup": LINE_DEDUP, "op5_decontaminate": DECONTAMINATE}
+#: Digests in base 32 are spelled from the hexadecimal ones, five digits of which are four letters.
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+n AS (SELECT page_id, strlen(body) AS size, h, list_transform(range(0, 8), lambda i: CAST('0x' || substring(h, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS parts FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((parts[i // 4 + 1] >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM n JOIN f USING (h)
+"""
+
+
+SQL = {"op2_line_dedup": LINE_DEDUP, "op5_decontaminate": DECONTAMINATE, "op7_warc_revisits": WARC}
