@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexil.catalog import _CODES, _NEAREST, K, NODES, Tables, _book, _codes, _dist, _near, _ranked, register
+from vexil.catalog import _ADC, _CODES, _NEAREST, K, NODES, Tables, _book, _codes, _dist, _near, _ranked, register
 from vexil.functions import distance, quantise
-from vexil.index import VectorIndex, shortlists
+from vexil.index import VectorIndex, shortlists, write_clustered
 from vexil.lineage import shared_dir
 from vexil.operators import access as acc
 from vexil.operators import cluster, knn, quantiser, selectors, trees
@@ -305,6 +305,36 @@ def _(t: Tables) -> DataFrame:
     return _near(_index(t, "codes").batch_query(t.labelled, K))
 
 
+# Stores
+
+
+def _new(t: Tables, what: str) -> str:
+    return f"{shared_dir(t.spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+@register("store_labels", "SELECT vec_id, array_to_string(labels, ',') AS labels FROM lists")
+def _(t: Tables) -> DataFrame:
+    path = _new(t, "labels")
+    formats.write_labels(t.lists(), path)
+    return formats.read_labels(t.spark, path).select("vec_id", F.array_join("labels", ",").alias("labels"))
+
+
+@register("store_probe", _ranked(f"SELECT query_id, e.vec_id, {_dist('e.embedding', 'q')} AS dist FROM queries JOIN (SELECT vec_id AS query_id, cluster_id FROM ({_NEAREST}) WHERE vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), cluster_id) <= 9) USING (query_id) JOIN embeddings e ON e.label = cluster_id"))
+def _(t: Tables) -> DataFrame:
+    # Vectors in a folder for each cluster: a probe reads those of the clusters that it visits.
+    path = _new(t, "clusters")
+    write_clustered(t.clustered, path)
+    kept = t.spark.read.schema("vec_id long, embedding array<float>, cluster_id int").parquet(path)
+    return _near(cluster.probe(t.queries, kept, t.means(), 9, K))
+
+
+@register("store_codes", f", {_ADC} {_ranked('SELECT * FROM approx', 40)}")
+def _(t: Tables) -> DataFrame:
+    path = _new(t, "codes")
+    _codes(t).write.option("compression", "zstd").parquet(path)
+    return _near(quantiser.adc_search(t.queries, t.spark.read.parquet(path), _book(t), 40, digits=6))
+
+
 # Ids
 
 

@@ -49,6 +49,11 @@ def _(t: Tables) -> DataFrame:
     return _rounded(sweeps.phases(rows, "beam", "frontier"), "mean")
 
 
+@register("percentiles_ranged", "SELECT event_type, share, round(value, 6) AS value FROM (SELECT event_type, unnest([0.5, 0.95, 0.99]) AS share, unnest(quantile_cont(value, [0.5, 0.95, 0.99])) AS value FROM events GROUP BY event_type)")
+def _(t: Tables) -> DataFrame:
+    return _rounded(evaluate.percentiles(t.table("events"), "value", [0.5, 0.95, 0.99], "event_type"), "value")
+
+
 @register("memory_rollup", "SELECT run_id, component, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT vec_id % 8 AS run_id, 'c' || (label % 3) AS component, vec_id * 8 AS bytes FROM embeddings) GROUP BY GROUPING SETS ((run_id, component), (run_id))")
 def _(t: Tables) -> DataFrame:
     return sweeps.memory(t.rows.select((F.col("vec_id") % 8).alias("run_id"), F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("component"), (F.col("vec_id") * 8).alias("bytes")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vexil.lineage import cut
+
 
 def cutoffs(truth: DataFrame) -> DataFrame:
     """query_id, cutoff: the largest true distance."""
@@ -48,6 +50,27 @@ def latencies(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
+def percentiles(df: DataFrame, value: str, shares: list[float], *by: str) -> DataFrame:
+    """by, share, value: exact percentiles with linear interpolation, of groups of any size. Distinct values are counted and ranked in ranges, so that
+    no task holds a group; the tables that are windowed over have a row for each group and range."""
+    keys = list(by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    ranged = cut(counts.repartitionByRange(*keys, "__v").sortWithinPartitions(*keys, "__v").withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "__p").agg(F.sum("__n").alias("__size"))
+    line = Window.partitionBy(*keys).orderBy("__p")
+    sizes = sizes.select(*keys, "__p", (F.sum("__size").over(line) - F.col("__size")).alias("__before"), F.sum("__size").over(Window.partitionBy(*keys)).alias("__all"))
+    inside = Window.partitionBy(*keys, "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("__upto", F.sum("__n").over(inside))
+    same = [placed[c].eqNullSafe(sizes[c]) for c in [*keys, "__p"]]
+    rows = placed.join(F.broadcast(sizes), same).select(*(placed[c] for c in keys), "__v", "__all", (F.col("__upto") - F.col("__n") + F.col("__before")).alias("__low"), (F.col("__upto") + F.col("__before")).alias("__high"))
+    # The values at the two places around each share's.
+    asked = F.explode(F.array(*map(F.lit, shares))).alias("share")
+    rows = rows.select("*", asked).withColumn("__at", F.col("share") * (F.col("__all") - 1))
+    holds = lambda place: (F.col("__low") <= place) & (place < F.col("__high"))
+    found = rows.where(holds(F.floor("__at")) | holds(F.ceil("__at"))).groupBy(*keys, "share").agg(F.min("__v").alias("a"), F.max("__v").alias("b"), F.first("__at").alias("__at"))
+    return found.select(*keys, "share", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("__at") - F.floor("__at"))).alias("value"))
+
+
 def percentile_targets(df: DataFrame, value: str, targets: tuple[int, ...] = (1, 25, 50, 75, 99)) -> DataFrame:
     """target, value: exact percentiles with linear interpolation."""
     one = df.agg(F.percentile(value, F.array(*(F.lit(t / 100) for t in targets))).alias("v"))

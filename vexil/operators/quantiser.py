@@ -21,6 +21,8 @@ from vexil.operators import knn
 #: The rows that a codebook is trained on, at most (chosen by a hash of the id).
 TRAIN_ROWS = 50_000
 CODES = 256
+#: Of query tables that are sent to every task at once.
+TABLE_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -154,26 +156,37 @@ def reconstruct(codes: DataFrame, book: Book) -> DataFrame:
 
 def adc_search(queries: DataFrame, codes: DataFrame, book: Book, k: int, digits: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, rank, vec_id, dist: the k nearest by asymmetric distance. Distances are looked up in each query's table, a batch of codes at a time,
-    and every batch keeps its k best. allowed: query_id, vec_id pairs; the others are left out before the cut."""
-    if queries.count() > knn.SENT_QUERIES:
-        raise ValueError(f"ask at most {knn.SENT_QUERIES} queries at a time: their tables go to every task")
+    and every batch keeps its k best. Queries whose tables exceed TABLE_BYTES are asked block by block.
+    allowed: query_id, vec_id pairs; the others are left out before the cut."""
+    blocks = max(1, -(-queries.count() * book.cells.shape[0] * book.cells.shape[1] * 8 // TABLE_BYTES))
+    found = None
+    for block in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long")) == block)
+        own = _adc_block(part, codes, book, k, digits, allowed)
+        found = own if found is None else found.unionByName(own)
+    return knn.top_k(found, k).select("query_id", "rank", "vec_id", "dist")
+
+
+def _adc_block(queries: DataFrame, codes: DataFrame, book: Book, k: int, digits: int | None, allowed: DataFrame | None) -> DataFrame:
+    """query_id, vec_id, dist: the k best of every batch of codes for a block of queries."""
     asked = queries.select("query_id", "q").toPandas()
     parts = len(book.cells)
     if not len(asked):
-        return codes.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, dist double")
+        return codes.sparkSession.createDataFrame([], "query_id long, vec_id long, dist double")
     tables = book.tables(np.stack(asked["q"].to_numpy()).astype(np.float64))
     shared = codes.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(np.int64), tables))
     rows = codes.select("vec_id", "codes")
     if allowed is not None:
-        sets = allowed.groupBy("vec_id").agg(F.collect_set("query_id").alias("for"))
+        sets = allowed.join(F.broadcast(queries.select("query_id")), "query_id", "left_semi").groupBy("vec_id").agg(F.collect_set("query_id").alias("for"))
         rows = rows.join(sets, "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tables = shared.value
         place = {q: i for i, q in enumerate(ids.tolist())}
         for whole in batches:
-            for i in range(0, len(whole), 4096):
-                b = whole.slice(i, 4096)
+            step = max(64, (4 << 20) // len(ids))
+            for i in range(0, len(whole), step):
+                b = whole.slice(i, step)
                 names, rows = b["vec_id"].to_numpy(), _code_rows(b["codes"], parts)
                 d = np.zeros((len(ids), len(names)))
                 for p in range(parts):
@@ -190,8 +203,7 @@ def adc_search(queries: DataFrame, codes: DataFrame, book: Book, k: int, digits:
                 q, j = np.nonzero(best < np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(names[order[q, j]]), pa.array(best[q, j])], ["query_id", "vec_id", "dist"])
 
-    found = rows.mapInArrow(run, "query_id long, vec_id long, dist double")
-    return knn.top_k(found, k).select("query_id", "rank", "vec_id", "dist")
+    return rows.mapInArrow(run, "query_id long, vec_id long, dist double")
 
 
 def search(queries: DataFrame, vectors: DataFrame, codes: DataFrame, book: Book, k: int, factor: int = 4, allowed: DataFrame | None = None) -> DataFrame:

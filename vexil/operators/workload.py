@@ -124,8 +124,11 @@ def profile_counts(spark: SparkSession, tiers: list[tuple[int, float]], n: int)
 
 def exact_labels(vectors: DataFrame, counts: DataFrame, seed: int = 42) -> DataFrame:
     """Every label on exactly n distinct vectors: the n with the smallest hashes for it (all, if there are fewer)."""
+    most = counts.agg(F.max("n")).first()[0] or 0
     pairs = vectors.select("vec_id").crossJoin(F.broadcast(counts)).withColumn("u", uniform("vec_id", "tid", seed=seed))
-    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("tid").orderBy("u", "vec_id"))).where("r <= n").select("vec_id", "tid")
+    # The literal bound lets every partition cut before the shuffle.
+    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("tid").orderBy("u", "vec_id"))).where(F.col("r") <= int(most))
+    return ranked.where("r <= n").select("vec_id", "tid")
 
 
 def split(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:

@@ -38,9 +38,30 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_npy(vectors: DataFrame, path: str) -> None:
-    """A matrix in the order of vec_id; for exports that fit the driver."""
-    rows = vectors.orderBy("vec_id").select("embedding").toPandas()
-    np.save(path, np.stack(rows["embedding"].to_numpy()).astype(np.float32) if len(rows) else np.zeros((0, 0), np.float32))
+    """A matrix in the order of vec_id, in a file of the driver's machine; rows come a partition at a time, so the driver holds no more than one."""
+    n = vectors.count()
+    first = vectors.select(F.size("embedding").alias("d")).first()
+    if first is None:
+        np.save(path, np.zeros((0, 0), np.float32))
+        return
+    out = np.lib.format.open_memmap(path, "w+", np.float32, (n, first["d"]))
+    for i, r in enumerate(vectors.orderBy("vec_id").select("embedding").toLocalIterator()):
+        out[i] = r["embedding"]
+    out.flush()
+
+
+def read_large_xvecs(spark: SparkSession, path: str, length: int, element: str = "float32") -> DataFrame:
+    """One .fvecs, .ivecs or .bvecs file of any size, whose records hold `length` elements each: it is split among tasks at record boundaries."""
+    kind = np.dtype(element)
+    record = 4 + length * kind.itemsize
+
+    def parse(rows: Iterator[tuple[bytes, int]]) -> Iterator[tuple[int, list[float]]]:
+        for raw, number in rows:
+            if int(np.frombuffer(raw, "<i4", 1)[0]) != length:
+                raise ValueError("records have different lengths")
+            yield number, np.frombuffer(raw, kind, length, 4).astype(float).tolist()
+
+    return spark.createDataFrame(spark.sparkContext.binaryRecords(path, record).zipWithIndex().mapPartitions(parse), _VECTORS)
 
 
 def read_xvecs(spark: SparkSession, path: str, element: str = "float32", most: int | None = None) -> DataFrame:
@@ -124,6 +145,48 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return flat(spark.read.schema("query_id long, labels array<long>, distances array<double>").json(path))
 
 
+def nested_by_filter(results: DataFrame) -> DataFrame:
+    """filter, queries: an array of query_id, labels, distances and search_time_us for each filter, by query_id. results: filter, query_id, rank, vec_id, dist, search_time_us."""
+    rows = results.groupBy("filter", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "dist"))).alias("r"), F.max("search_time_us").alias("search_time_us"))
+    one = F.struct("query_id", F.transform("r", lambda x: x["vec_id"]).alias("labels"), F.transform("r", lambda x: x["dist"]).alias("distances"), "search_time_us")
+    return rows.groupBy("filter").agg(F.array_sort(F.collect_list(one)).alias("queries"))
+
+
+def flat_by_filter(rows: DataFrame) -> DataFrame:
+    """The reverse of nested_by_filter(); negative ids are padding and left out."""
+    each = rows.select("filter", F.explode("queries").alias("q")).select("filter", "q.*")
+    pairs = each.select("filter", "query_id", "search_time_us", F.posexplode(F.arrays_zip("labels", "distances")).alias("pos", "r"))
+    return pairs.select("filter", "query_id", (F.col("pos") + 1).alias("rank"), F.col("r.labels").alias("vec_id"), F.col("r.distances").alias("dist"), "search_time_us").where("vec_id >= 0")
+
+
+def write_labels(lists: DataFrame, path: str) -> None:
+    """vec_id, labels, in the order of vec_id within each file."""
+    lists.select("vec_id", "labels").sortWithinPartitions("vec_id").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("vec_id long, labels array<int>").parquet(path)
+
+
+def read_metadata(spark: SparkSession, path: str, index_path: str) -> DataFrame:
+    """vec_id, meta (binary): a file of values one after the other, and one of an int32 count and count + 1 uint64 places. Files are paired by their order of name."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for content, index in zip(f["content"], f["places"]):
+                n = int(np.frombuffer(index, "<i4", 1)[0])
+                at = np.frombuffer(index, "<u8", n + 1, 4).astype(np.int64)
+                if at[-1] > len(content):
+                    raise ValueError("places run over the end")
+                for i in range(0, n, 10_000):
+                    j = min(n, i + 10_000)
+                    yield pd.DataFrame({"vec_id": np.arange(i, j), "meta": [content[at[k] : at[k + 1]] for k in range(i, j)]})
+
+    data, places = (_files(spark, x).withColumn("k", F.row_number().over(Window.orderBy("path"))) for x in (path, index_path))
+    both = data.select("k", "content").join(places.select("k", F.col("content").alias("places")), "k")
+    return both.select("content", "places").mapInPandas(run, "vec_id long, meta binary")
+
+
 def number_rows(rows: DataFrame, *order: str, name: str = "vec_id") -> DataFrame:
     """Adds numbers from 0 by order, without one task that sorts all: ranges are numbered apart and put in line."""
     # Kept, as ranges are drawn by sampling and both uses must see the same ones.
