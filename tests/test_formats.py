@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from vexil.operators import evaluate
 from vexil.sources import formats, truth
 from vexil.streaming import updates
 
@@ -52,6 +53,17 @@ def test_truth_files(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["3 1 2", "5 -1 -1", "7 8 9"]
 
 
+def test_large_files_are_split(spark, tmp_path):
+    a = np.arange(3000, dtype=np.float32).reshape(1000, 3)
+    (tmp_path / "a.fvecs").write_bytes(b"".join(np.int32(3).tobytes() + r.tobytes() for r in a))
+    got = formats.read_large_xvecs(spark, str(tmp_path / "a.fvecs"), 3)
+    assert [list(r.embedding) for r in got.orderBy("vec_id").collect()] == a.tolist()
+    formats.write_npy(got, str(tmp_path / "b.npy"))
+    assert np.load(tmp_path / "b.npy").tolist() == a.tolist()
+    formats.write_npy(got.limit(0), str(tmp_path / "c.npy"))
+    assert np.load(tmp_path / "c.npy").shape == (0, 0)
+
+
 def test_damaged_files_raise(spark, tmp_path):
     (tmp_path / "a.fvecs").write_bytes(np.int32(3).tobytes() + b"12345678")
     with pytest.raises(Exception, match="cut off"):
@@ -113,3 +125,28 @@ def test_late_events_are_counted_apart(spark, tmp_path):
     rows = [("2024-01-01 10:05:00", "a"), ("2024-01-01 10:50:00", "a"), ("2024-01-01 11:10:00", "b")]
     df = spark.createDataFrame(rows, "ts string, event_type string").selectExpr("cast(ts as timestamp) ts", "event_type")
     assert sorted((r.start.hour, r.event_type, r.n) for r in updates.late_counts(df).collect()) == [(10, "a", 2), (11, "b", 1)]
+
+
+def test_metadata_and_results_by_filter(spark, tmp_path):
+    values = [b"a", b"", b"\xff\x00", "é".encode()]
+    places = np.cumsum([0, *map(len, values)]).astype("<u8")
+    (tmp_path / "m.bin").write_bytes(b"".join(values))
+    (tmp_path / "i.bin").write_bytes(np.int32(4).tobytes() + places.tobytes())
+    assert [(r.vec_id, bytes(r.meta)) for r in formats.read_metadata(spark, str(tmp_path / "m.bin"), str(tmp_path / "i.bin")).orderBy("vec_id").collect()] == list(enumerate(values))
+    rows = [("OR 1 2", 1, 1, 5, 0.5, 10), ("OR 1 2", 1, 2, 6, 0.75, 10), ("NOT 1", 1, 1, 9, 1.0, 20), ("OR 1 2", 2, 1, 7, 0.0, 30)]
+    df = spark.createDataFrame(rows, "filter string, query_id long, rank int, vec_id long, dist double, search_time_us long")
+    nested = formats.nested_by_filter(df)
+    nested.write.json(str(tmp_path / "r"))
+    again = spark.read.schema(nested.schema).json(str(tmp_path / "r"))
+    assert sorted(tuple(r) for r in formats.flat_by_filter(again).select(*df.columns).collect()) == sorted(rows)
+
+
+def test_percentiles_of_ranges(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.exponential(size=3000), 2)
+    g = rng.integers(0, 3, 3000)
+    df = spark.createDataFrame([(int(a) if a else None, float(b)) for a, b in zip(g, x)] + [(1, None)], "g int, x double")
+    got = {(r.g or 0, r.share): r.value for r in evaluate.percentiles(df, "x", [0.0, 0.37, 0.5, 1.0], "g").collect()}
+    assert got == pytest.approx({(k, p): np.percentile(x[g == k], p * 100) for k in range(3) for p in (0.0, 0.37, 0.5, 1.0)})
+    assert evaluate.percentiles(df, "x", [0.5]).first()["value"] == pytest.approx(np.median(x))
+    assert evaluate.percentiles(df.limit(0), "x", [0.5], "g").count() == 0

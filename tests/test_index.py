@@ -114,6 +114,18 @@ def test_codebooks(spark, data):
         quantiser.train(vectors, 8, 300)
 
 
+def test_many_queries_are_asked_in_blocks(data, monkeypatch):
+    v, vectors, grants = data
+    book = quantiser.train(vectors, 4, 8)
+    codes = quantiser.encode(vectors, book).cache()
+    asked = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    allowed = grants.where("tid = 9").select("vec_id").crossJoin(asked.select("query_id")).where("(vec_id + query_id) % 3 = 0")
+    want = [sorted(tuple(r) for r in quantiser.adc_search(asked, codes, book, 3, allowed=x).collect()) for x in (None, allowed)]
+    assert len(want[0]) == 180 and all((r[0] + r[2]) % 3 == 0 for r in want[1])
+    monkeypatch.setattr(quantiser, "TABLE_BYTES", 4 * 8 * 8 * 7)
+    assert [sorted(tuple(r) for r in quantiser.adc_search(asked, codes, book, 3, allowed=x).collect()) for x in (None, allowed)] == want
+
+
 def test_clusters_settle_and_balance(spark, data):
     v, vectors, _ = data
     means, assigned = cluster.kmeans(vectors, 6, 20)
