@@ -42,7 +42,7 @@ def _heads(t: Tables) -> DataFrame:
     return chosen.select("cluster_id", F.col("embedding").alias("centroid"))
 
 
-@register("spann_postings", f", {_POSTINGS} SELECT cluster_id, vec_id FROM postings")
+@register("head_postings", f", {_POSTINGS} SELECT cluster_id, vec_id FROM postings")
 def _(t: Tables) -> DataFrame:
     return cluster.postings(t.vectors, _heads(t))
 
