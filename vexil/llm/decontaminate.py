@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexil.llm.shared import cut
+from vexil.llm.shared import cut, release
 
 #: The places that each mask reads, for items from LONG words on and for shorter ones.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
@@ -63,6 +63,7 @@ def _hits(hashed: DataFrame, test: DataFrame, masks: tuple[tuple[int, ...], ...]
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, window (words), matched (most equal words in a window), shift (smallest distance of a matching alignment's starts), of all pairs that match."""
+    release(docs.sparkSession)
     test = items.select("item_id", words().alias("h")).distinct().where(F.size("h") >= SHORTEST).withColumn("item", F.xxhash64("item_id", "h"))
     test = cut(test)
     hashed = docs.select("doc_id", words().alias("h"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexil.llm.shared import cut
+from vexil.llm.shared import cut, release
 
 LEAST_CHARS = 1
 PIECES, PIECE_CHARS = 64, 16
@@ -110,6 +110,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, max_edits: int
     """docs (doc_id, text, ...) with text rebuilt from the lines that stay; adds n_lines and n_kept (lines that aren't blank)."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
+    release(docs.sparkSession)
     first = cut(first_lines(docs, least_chars))
     kept = first.select("at")
     if max_edits:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from vexil.llm.components import components
 from vexil.llm.ragged import doc_of, hash_words, mix, text_blocks
-from vexil.llm.shared import cut, small_batches, tasks_for
+from vexil.llm.shared import cut, release, small_batches, tasks_for
 
 SHINGLE = 5
 #: Shingles in a smaller share of all documents weigh alike: there are too many of them to send their counts to every task.
@@ -421,6 +421,7 @@ def _named(rows: DataFrame, shared_ids: DataFrame | None) -> DataFrame:
 
 def classified(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, body, class_id, n_links and class (a name that no two classes share; null for rows that are classes of their own)."""
+    release(docs.sparkSession)
     weights = common_shingles(docs)
     signed = cut(signatures(docs, weights))
     real = signed.where("doc_id is not null and whole is not null")
@@ -461,12 +462,14 @@ def classified(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         used = groups.select(F.explode(F.array("lead", "rep")).alias("doc_id")).distinct()
         texts = docs.join(used, "doc_id", "left_semi")
         texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
+        release(docs.sparkSession)
         groups = linked_leads(groups, texts, weights, threshold)
         n = groups.count()
         tried = cut(groups.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct(), n)
         links = cut(_jaccard(tried, texts, weights, threshold))
         classes = components(links)
         # Members outside their lead's class are apart.
+        release(docs.sparkSession)
         own = classes.select(F.col("id").alias("rep"), F.col("class").alias("rep_class"))
         leads = classes.select(F.col("id").alias("lead"), F.col("class").alias("lead_class"))
         groups = groups.join(own, "rep", "left").coalesce(tasks_for(n)).join(leads, "lead", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -33,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what earlier steps left. Spark removes shuffles, broadcasts and checkpoints that nothing refers to only once the driver has collected their
+    references, which it is made to do every half hour; operators of many steps leave more than that in between, in the driver and on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tasks_for(rows: int) -> int:
     """How many tasks a table of narrow rows is worth."""
     return max(1, -(-rows // ROWS_A_TASK))
