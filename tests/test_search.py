@@ -82,3 +82,22 @@ def test_exact_labels_have_their_counts(spark, line):
     assert counts.agg(F.sum("n")).first()[0] == 300
     labels = workload.exact_labels(line, counts).groupBy("tid").count()
     assert {r.tid: r["count"] for r in labels.collect()} == {r.tid: min(200, r.n) for r in counts.collect()}
+
+
+def test_ties_of_many_equal_vectors_go_to_the_smallest_ids(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 2 else rng.normal(size=3).tolist()) for i in rng.permutation(600).tolist()] + [(5000, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([(0, [1.0, 2.0, 3.0], 1), (1, [1.0, 2.0, 3.5], None), (2, [0.0, 0.0, 0.0], 2), (3, [1.0, 2.0, 3.0], 9)], "query_id long, q array<double>, tid int")
+    grants = spark.createDataFrame([(i, 1) for i in range(100, 600)] + [(i, 2) for i in range(0, 600, 2)] * 2, "vec_id long, tid int")
+    v = {i: np.array(x) for i, x in rows if x}
+
+    def near(q, ids):
+        return sorted(ids, key=lambda i: (((np.array(q) - v[i]) ** 2).sum(), i))[:7]
+
+    for cells in (knn._CELLS, 50):
+        monkeypatch.setattr(knn, "_CELLS", cells)
+        assert ids(knn.unfiltered(queries, vectors, 7)) == {r.query_id: near(r.q, v) for r in queries.collect()}
+        got = ids(knn.single_label(queries, vectors, grants, 7))
+        assert got == {0: near([1.0, 2.0, 3.0], range(100, 600)), 1: near([1.0, 2.0, 3.5], v), 2: near([0.0] * 3, range(0, 600, 2))}
+    assert knn.unfiltered(queries.limit(0), vectors, 3).count() == 0 and knn.single_label(queries, vectors.limit(0), grants, 3).count() == 0
