@@ -6,11 +6,18 @@ slash and a number, so the names of a vector's nodes are the prefixes of its lea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vexil.functions.arrays import matrix
 from vexil.functions.distance import l2_squared
-from vexil.operators.knn import SENT_QUERIES, _scored, top_k
+from vexil.functions.pairwise import of_metric
+from vexil.operators import knn
+from vexil.operators.knn import among, top_k
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -180,28 +187,53 @@ def kd_probe(queries: DataFrame, vectors: DataFrame, cuts: DataFrame, k: int, fa
 def partition_graph(vectors: DataFrame, k: int, trees: int = 8, leaf: int = 256, seed: int = 1) -> DataFrame:
     """src, dst, rank, dist: each vector's k nearest among those that share a leaf with it in any of several random-projection trees. No pair of
     vectors in different leaves is made; a vector meets at most trees * leaf others, about."""
+    spark = vectors.sparkSession
     n = vectors.count()
     depth = max(0, (max(n - 1, 0) // leaf).bit_length())
     first = vectors.select(F.size("embedding").alias("d")).first()
     if first is None:
-        return vectors.sparkSession.createDataFrame([], "src long, dst long, rank int, dist double")
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    v = vectors.select("vec_id", "embedding")
-    pairs = None
-    for t in range(trees):
-        now = v.withColumn("part", F.lit(0).cast("long"))
-        for _ in range(depth):
-            line = F.array(*(F.lit(float(x)) for x in rng.normal(size=first["d"])))
-            from vexil.functions.distance import dot
-
-            now = now.withColumn("x", dot(F.col("embedding"), line))
-            middle = now.groupBy("part").agg(F.percentile_approx("x", 0.5, 1000).alias("cut"))
-            now = now.join(F.broadcast(middle), "part").withColumn("part", F.col("part") * 2 + (F.col("x") > F.col("cut")).cast("long")).drop("x", "cut")
-        a = now.select("part", F.col("vec_id").alias("src"), F.col("embedding").alias("e"))
-        met = a.join(now.select("part", F.col("vec_id").alias("dst"), "embedding"), "part").where("src <> dst").select("src", "dst", l2_squared(F.col("e"), F.col("embedding")).alias("dist"))
-        best = top_k(met, k, ("src",), ("dist", "dst")).drop("rank")
-        pairs = best if pairs is None else pairs.unionByName(best)
-    found = pairs.dropDuplicates(["src", "dst"])
+        return spark.createDataFrame([], "src long, dst long, rank int, dist double")
+    lines = np.random.default_rng(seed).normal(size=(trees, depth, first["d"]))
+    rows = vectors.select("vec_id", "embedding").where("embedding is not null")
+    cuts = []  # of each level, each tree's and part's
+    for level in range(depth):
+        middle = np.full((trees, 1 << level), np.inf)
+        sides = rows.mapInArrow(_sides(spark, lines, cuts, level), "tree int, part long, x double")
+        for r in sides.groupBy("tree", "part").agg(F.percentile_approx("x", 0.5, 1000).alias("cut")).collect():  # trees * 2**level rows, in all about trees * n / leaf
+            middle[r["tree"], r["part"]] = r["cut"]
+        cuts.append(middle)
+    leaves = rows.mapInArrow(_sides(spark, lines, cuts, None), "tree int, part long, vec_id long, embedding " + rows.schema["embedding"].dataType.simpleString())
+
+    def near(members: pa.Table) -> pa.Table:
+        ids, v = members["vec_id"].to_numpy(), matrix(members["embedding"])
+        step, parts = max(1, knn._CELLS // len(v)), []
+        for at in range(0, len(v), step):
+            i, j, dist = knn._nearest(v[at : at + step], v, ids, k, of_metric(l2_squared), free=ids[at : at + step, None] != ids[None])
+            parts.append(pa.table([ids[at : at + step][i], ids[j], dist], ["src", "dst", "dist"]))
+        return pa.concat_tables(parts)
+
+
+
+def _sides(spark: SparkSession, lines: np.ndarray, cuts: list[np.ndarray], level: int | None):
+    """Of each tree: every vector's part under the cuts and its place on the line of a level; or its part, id and vector, if there is no further level."""
+    shared = spark.sparkContext.broadcast((lines, cuts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, cuts = shared.value
+        for b in batches:
+            if not len(b):
+                continue
+            v = matrix(b["embedding"])
+            for tree in range(len(lines)):
+                part = np.zeros(len(v), np.int64)
+                for line, middle in zip(lines[tree], cuts):
+                    part = part * 2 + (v @ line > middle[tree][part])
+                own = [pa.array(np.full(len(v), tree, np.int32)), pa.array(part)]
+                if level is None:
+                    yield pa.RecordBatch.from_arrays([*own, b["vec_id"], b["embedding"]], ["tree", "part", "vec_id", "embedding"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(v @ lines[tree, level])], ["tree", "part", "x"])
+
+    return run
+    found = leaves.groupBy("tree", "part").applyInArrow(near, "src long, dst long, dist double").dropDuplicates(["src", "dst"])
     return top_k(found, k, ("src",), ("dist", "dst")).select("src", "dst", "rank", "dist")
