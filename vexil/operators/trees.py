@@ -79,8 +79,7 @@ def best_first(queries: DataFrame, vectors: DataFrame, sized: DataFrame, budget:
     near = near.select("query_id", "cluster_id", l2_squared(F.col("centroid"), F.col("q")).alias("d"))
     least = near.groupBy("query_id").agg(F.min("d").alias("least"))
     visits = near.join(least, "query_id").where(F.col("d") <= prune * F.col("least")).select("query_id", "cluster_id")
-    pairs = vectors.join(F.broadcast(visits) if queries.count() <= SENT_QUERIES else visits, "cluster_id").join(queries, "query_id")
-    return top_k(_scored(pairs.drop("cluster_id"), l2_squared), k).select("query_id", "rank", "vec_id", "dist")
+    return among(queries, visits, vectors, k)
 
 
 # Bloom filters of labels, as arrays of 64-bit words: fixed in size, or-ed up the tree.
