@@ -162,7 +162,7 @@ def kd_probe(queries: DataFrame, vectors: DataFrame, cuts: DataFrame, k: int, fa
     """Search by a KD-tree: a query's own leaf gives its k-th distance; every leaf whose cuts lie nearer than factor times that is searched. Factor 1 is exact."""
     placed = kd_leaf(vectors.select("vec_id", "embedding"), cuts)
     own = kd_leaf(queries.select(F.col("query_id"), F.col("q"), F.col("q").alias("embedding")), cuts).drop("embedding")
-    first = top_k(_scored(own.join(placed, "node").drop("node"), l2_squared), k)
+    first = among(queries, own.select("query_id", "node"), placed, k, "node")
     bound = first.groupBy("query_id").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n"))
     bound = queries.select("query_id", "q").join(bound, "query_id", "left").select("query_id", "q", F.when(F.col("n") >= k, F.col("far") * factor).otherwise(float("inf")).alias("reach"))
     # Down the tree: the near side always, the far one if the cut's squared distance is within reach.
@@ -176,8 +176,7 @@ def kd_probe(queries: DataFrame, vectors: DataFrame, cuts: DataFrame, k: int, fa
         both = F.when((x - F.col("cut")) * (x - F.col("cut")) <= F.col("reach"), F.array(near, far)).otherwise(F.array(near))
         sides = F.when(F.col("dim").isNull(), F.array(F.lit(""))).otherwise(both)
         now = met.select("query_id", "q", "reach", F.explode(F.transform(sides, lambda s: F.concat("node", s))).alias("node"))
-    pairs = now.join(placed, "node").select("query_id", "q", "vec_id", "embedding")
-    return top_k(_scored(pairs, l2_squared), k).select("query_id", "rank", "vec_id", "dist")
+    return among(queries, now.select("query_id", "node"), placed, k, "node")
 
 
 # Neighbours inside random parts
