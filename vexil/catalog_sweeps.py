@@ -170,9 +170,9 @@ def _(t: Tables) -> DataFrame:
 @register("knn_table_function", _ranked("SELECT * FROM pairs", 3))
 def _(t: Tables) -> DataFrame:
     """kNN as a lateral join: for each query row its own ranked rows."""
-    q = t.queries
-    near = t.vectors.select("vec_id", knn.l2_squared(F.col("embedding"), F.col("q").outer()).alias("dist")).orderBy("dist", "vec_id").limit(3)
-    found = q.lateralJoin(near).select("query_id", "vec_id", "dist")
-    return _near(knn.top_k(found, 3))
+    # The outer name is one that the inner rows don't have under any projection, or it would be resolved there.
+    found = knn.unfiltered(t.queries, t.vectors, 3)
+    near = found.where(F.col("query_id") == F.col("outer_id").outer()).select("query_id", "rank", "vec_id", "dist").orderBy("rank").limit(3)
+    return _near(t.queries.select(F.col("query_id").alias("outer_id")).lateralJoin(near))
 
 
