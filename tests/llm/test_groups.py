@@ -72,3 +72,17 @@ def test_classes_of_a_large_group(spark):
                 want = [low if c == high else c for c in want]
     assert len(set(want)) > 2
     assert got == dict(enumerate(want))
+
+
+def test_keys_of_the_same_texts_make_their_pairs_once(spark):
+    x = [(key, rep, rep % 2, 1.0) for key in (1, 2, 3) for rep in (10, 11, 12)] + [(4, 10, 0, 1.0), (5, 10, 0, 1.0), (6, 10, 0, 1.0)]
+    y = [(key, rep, rep % 2, 1.0) for key in (1, 2) for rep in (20, 21)] + [(3, 20, 0, 1.0), (3, 22, 0, 1.0), (4, 24, 0, 1.0), (5, 23, 1, 1.0)]
+    sides = [spark.createDataFrame(rows, "key long, rep long, class long, weight double") for rows in (x, y)]
+
+    def pairs(x, y):
+        met = x.join(y.toDF("key", "other", "other_class", "other_weight"), "key").where("class <> other_class")
+        return sorted((r.rep, r.other) for r in met.collect())
+
+    kept = near_dup.different_lists(*sides)
+    assert {r.key for r in kept[0].collect()} == {r.key for r in kept[1].collect()} == {1, 3, 5}
+    assert set(pairs(*kept)) == set(pairs(*sides)) and len(pairs(*kept)) < len(pairs(*sides))

@@ -311,11 +311,11 @@ def _level(packed: np.ndarray, cell: np.ndarray) -> np.ndarray:
 
 
 def sharing_pairs(group: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """a, b: all similar pairs of each lead's members of which one at least is marked apart, and few others. group: lead, rep, apart."""
+    """a, b: all similar pairs of different classes of each lead's members of which one at least is marked apart, and few others. group: lead, rep, apart, class."""
     spark = texts.sparkSession
     weigh = spark.sparkContext.broadcast(weights)
-    pairs = group.select(F.col("lead").alias("a"), F.col("rep").alias("b"), "apart")
-    pairs = cut(_with_texts(pairs, texts).select("a", "b", "apart", "text_a", "text_b"))
+    pairs = group.select(F.col("lead").alias("a"), F.col("rep").alias("b"), "apart", "class")
+    pairs = cut(_with_texts(pairs, texts).select("a", "b", "apart", "class", "text_a", "text_b"))
     n = pairs.agg(F.sum(F.length("text_a") + F.length("text_b")).alias("n")).first()["n"] or 0
     bits = min(MOST_CELL_BITS, max(_BUCKET_BITS, int(n).bit_length() + 1))
     shift = np.uint64(64 - bits)
@@ -341,26 +341,41 @@ def sharing_pairs(group: DataFrame, texts: DataFrame, weights: Weights, threshol
                 entered.append(few.view(np.int64))
                 looked.append(full.view(np.int64) if apart[k] else np.zeros(0, np.int64))
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["b"], pa.array(total, pa.float64()), pa.array(entered, lists), pa.array(looked, lists)], ["rep", "weight", "entered", "looked"])
+            yield pa.RecordBatch.from_arrays([batch["b"], batch["class"], pa.array(total, pa.float64()), pa.array(entered, lists), pa.array(looked, lists)], ["rep", "class", "weight", "entered", "looked"])
 
-    rows = cut(pairs.mapInArrow(differ, "rep long, weight double, entered array<long>, looked array<long>"))
+    rows = cut(pairs.mapInArrow(differ, "rep long, class long, weight double, entered array<long>, looked array<long>"))
 
     def values_of(batch: pa.RecordBatch) -> np.ndarray:
         return cell(batch["key"].flatten().to_numpy().view(np.uint64))
 
-    entered = rows.select("rep", "weight", F.col("entered").alias("key"))
+    entered = rows.select("rep", "class", "weight", F.col("entered").alias("key"))
     known = spark.sparkContext.broadcast(_cells(entered, bits, lambda batch: [values_of(batch)], (0,)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = pa.array(_level(known.value, values_of(batch)) > 0)
             row = pc.list_parent_indices(batch["key"]).filter(hit)
-            yield pa.RecordBatch.from_arrays([batch["key"].flatten().filter(hit), batch["rep"].take(row), batch["weight"].take(row)], ["key", "rep", "weight"])
+            yield pa.RecordBatch.from_arrays([batch["key"].flatten().filter(hit), *(batch[c].take(row) for c in ("rep", "class", "weight"))], ["key", "rep", "class", "weight"])
 
-    x, y = (t.mapInArrow(spread, "key long, rep long, weight double") for t in (rows.select("rep", "weight", F.col("looked").alias("key")), entered))
-    y = y.toDF("key", "other", "other_weight")
+    looked = rows.select("rep", "class", "weight", F.col("looked").alias("key"))
+    x, y = (t.mapInArrow(spread, "key long, rep long, class long, weight double") for t in (looked, entered))
+    x, y = different_lists(x, y)
+    y = y.toDF("key", "other", "other_class", "other_weight")
     close = F.least("weight", "other_weight") >= (threshold - 1e-9) * F.greatest("weight", "other_weight")
-    return x.join(y, "key").where(close & (F.col("rep") != F.col("other"))).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    close &= (F.col("rep") != F.col("other")) & (F.col("class") != F.col("other_class"))
+    return x.join(y, "key").where(close).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+def different_lists(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """x and y (key, rep, class, ...) under those keys alone that can make a pair of two classes, and of keys that have the same texts on both sides, as the shingles of one
+    passage have, under one: each makes the same pairs."""
+    sides = cut(x.withColumn("looks", F.lit(True)).unionByName(y.withColumn("looks", F.lit(False))))
+    texts = [F.xxhash64(F.lit(seed), "rep") for seed in (1, 2)]
+    lists = [f(F.when(F.col("looks") == side, h)).alias(f"{name}{side}") for side in (True, False) for name, f, h in (("n", F.count, F.lit(1)), ("a", F.bit_xor, texts[0]), ("b", F.bit_xor, texts[1]))]
+    known = sides.groupBy("key").agg(*lists, F.min("class").alias("least"), F.max("class").alias("most")).where("nTrue > 0 and nFalse > 0 and least <> most")
+    kept = cut(known.groupBy(*(f"{name}{side}" for side in (True, False) for name in "nab")).agg(F.min("key").alias("key")).select("key"))
+    sides = sides.join(kept, "key", "left_semi")
+    return sides.where("looks").drop("looks"), sides.where("not looks").drop("looks")
 
 
 def linked_leads(groups: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
@@ -474,7 +489,7 @@ def classified(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         leads = classes.select(F.col("id").alias("lead"), F.col("class").alias("lead_class"))
         groups = groups.join(own, "rep", "left").coalesce(tasks_for(n)).join(leads, "lead", "left")
         apart = F.coalesce("rep_class", "rep") != F.coalesce("lead_class", "lead")
-        groups = cut(groups.select("lead", "rep", apart.alias("apart")), n)
+        groups = cut(groups.select("lead", "rep", apart.alias("apart"), F.coalesce("rep_class", "rep").alias("class")), n)
         sizes = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("any")).where("n > 1 and any").drop("any")
         groups = cut(groups.join(sizes, "lead"), n)
         small, large = groups.where(F.col("n") <= SMALL_GROUP), groups.where(F.col("n") > SMALL_GROUP)
