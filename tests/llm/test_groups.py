@@ -74,6 +74,40 @@ def test_classes_of_a_large_group(spark):
     assert got == dict(enumerate(want))
 
 
+def test_rooms_part_dissimilar_texts_and_no_similar_ones():
+    made = unlike = found = 0
+    for seed in range(4):
+        plain = near_dup.Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1000)
+        lead, *texts = _weighed(_family(60, seed), plain)
+        names = [np.concatenate(near_dup.names(lead, t, seed)[::2]) for t in texts]
+        every, counts = np.unique(np.concatenate(names), return_counts=True)
+
+        def level(name: np.ndarray, every=every, counts=counts) -> np.ndarray:
+            return np.searchsorted(near_dup.LEVELS, counts[np.searchsorted(every, name)])
+
+        kept = [near_dup.entries(lead, t, 0.8, seed, level) for t in texts]
+        for i, x in enumerate(texts):
+            if _jaccard(x, lead) >= 0.8:
+                continue
+            for j, y in enumerate(texts):
+                _, p, q = np.intersect1d(kept[i][1], kept[j][0], return_indices=True)
+                if i != j and p.size:
+                    (room, part), (other_room, other_part) = (v[p] for v in kept[i][4:]), (v[q] for v in kept[j][2:4])
+                    met = (np.minimum(room, other_room) >= part + other_part).any()
+                    similar = _jaccard(x, y) >= 0.8
+                    assert met or not similar
+                    found, unlike, made = found + similar, unlike + (not similar), made + (met and not similar)
+    assert found > 50 and unlike > 50 and made < 0.5 * unlike
+
+
+def test_keys_that_are_put_together_have_the_largest_room(spark):
+    x = [(1, 10, 0, 3.0), (2, 10, 0, 5.0), (3, 10, 0, 9.0)]
+    y = [(1, 20, 1, 4.0), (2, 20, 1, 2.0), (3, 20, 1, 9.0), (3, 21, 2, 9.0)]
+    sides = [spark.createDataFrame(rows, "key long, rep long, class long, room double") for rows in (x, y)]
+    kept = [sorted((r.key, r.rep, r.room) for r in side.collect()) for side in near_dup.different_lists(*sides)]
+    assert kept == [[(1, 10, 5.0), (3, 10, 9.0)], [(1, 20, 4.0), (3, 20, 9.0), (3, 21, 9.0)]]
+
+
 def test_keys_of_the_same_texts_make_their_pairs_once(spark):
     x = [(key, rep, rep % 2, 1.0) for key in (1, 2, 3) for rep in (10, 11, 12)] + [(4, 10, 0, 1.0), (5, 10, 0, 1.0), (6, 10, 0, 1.0)]
     y = [(key, rep, rep % 2, 1.0) for key in (1, 2) for rep in (20, 21)] + [(3, 20, 0, 1.0), (3, 22, 0, 1.0), (4, 24, 0, 1.0), (5, 23, 1, 1.0)]

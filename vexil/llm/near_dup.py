@@ -16,7 +16,8 @@ the differences from L that x and y share. As d(x, L) > c * (W(x) + W(L)), a sim
 that weight, and x looks under its own but for a tail of d(x, L) - c * (1 + 1 / t) * W(x), which a similar pair shares at least as d is a
 metric and W(y) <= W(x) / t. Where y's shingles but for a tail of less than t * W(y) cost less, y is entered
 under these; x looks under its own but for such a tail too. All texts sort names alike, so the first name that a pair shares is in neither
-tail. Both filters are exact: they leave out no similar pair of a group. Texts in large buckets that have too many shingles of
+tail, and all that the pair shares is in what either text has from there on. So a pair is made under a name only if both have as much left there as a similar pair has to share:
+(d(x, L) - c * W(x) + d(y, L) - c * W(y)) / 2 of differences, t / (1 + t) * (W(x) + W(y)) of shingles. These filters are exact: they leave out no similar pair of a group. Texts in large buckets that have too many shingles of
 their own to be similar to any other text of such buckets leave these first, and keep their small ones. The classes are the connected components of all links. With 12
 bands of 3 samples a pair of similarity 0.8 meets with probability 0.9998.
 
@@ -253,9 +254,12 @@ def names(lead: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray
     return np.concatenate([name[0][more], name[1][less]]), np.abs(delta[np.concatenate([more, less])]), name[2][at[len(l_ids) :]]
 
 
-def entries(lead: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], threshold: float, salt: int, level) -> tuple[np.ndarray, np.ndarray]:
+def entries(lead: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], threshold: float, salt: int, level) -> tuple[np.ndarray, ...]:
     """The names that a text is entered under, and those that it looks under if it isn't similar to the lead. level: how many members have a name, as a class; 0: one.
 
+    Then for both lists, each name's room and part: room is the weight of the name and all later ones of its kind, and two texts that are similar
+    have at least the sum of their parts as room at the first name of a kind that they share.
+
     Of two similar texts of which one isn't similar to the lead, that one looks under a name that the other is entered under,
     whatever the levels are, as long as a name that both have isn't on level 0: all texts put names in one order (level, name), the first name that
     two similar texts share can't be in either one's tail, as all that they share would then be in it.
@@ -267,16 +271,20 @@ def entries(lead: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarr
     # A similar text shares more than this if the one here is entered (so a tail of just that goes too), and at least this if it looks.
     entered, looking = (far - c * (total - l_total)) / 2 + slack, far - c * (1 + 1 / threshold) * total - slack
     best, least, looked = None, None, []
-    for name, w, tail, other_tail in ((diff, diff_w, entered, looking), (words, own[1], threshold * total - slack, threshold * total - slack)):
+    parts = (far - c * total) / 2 - slack, threshold / (1 + threshold) * total - slack
+    for name, w, tail, other_tail, part in ((diff, diff_w, entered, looking, parts[0]), (words, own[1], threshold * total - slack, threshold * total - slack, parts[1])):
         at = level(name)
         order = np.lexsort((name, at))  # the rarest first: few others have them
         left = np.cumsum(w[order][::-1])[::-1]
         few, more = order[left > tail], order[left > other_tail]
         cost = np.take(_COSTS, at[few]).sum()
+        lists = [(name[some][at[some] > 0], left[: len(some)][at[some] > 0]) for some in (few, more)]
+        (few, few_left), (more, more_left) = lists
         if best is None or cost < least:
-            best, least = name[few][at[few] > 0], cost
-        looked.append(name[more][at[more] > 0])
-    return best, np.concatenate(looked)
+            best, least = (few, few_left, np.full(len(few), part)), cost
+        looked.append((more, more_left, np.full(len(more), part)))
+    looked = [np.concatenate(x) for x in zip(*looked, strict=True)]
+    return best[0], looked[0], *best[1:], *looked[1:]
 
 
 def _cells(rows: DataFrame, bits: int, cells, above: tuple[int, ...]) -> np.ndarray:
@@ -334,47 +342,52 @@ def sharing_pairs(group: DataFrame, texts: DataFrame, weights: Weights, threshol
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leads, apart = batch["a"].to_numpy(), batch["apart"].to_numpy(zero_copy_only=False)
-            total, entered, looked = [], [], []
+            total, lists = [], {c: [] for c in columns}
             for k, lead, own in _weighed(batch, weigh.value):
-                few, full = entries(lead, own, threshold, leads[k], lambda name: _level(often.value, cell(name)))
+                few, full, *rest = entries(lead, own, threshold, leads[k], lambda name: _level(often.value, cell(name)))
                 total.append(own[1].sum())
-                entered.append(few.view(np.int64))
-                looked.append(full.view(np.int64) if apart[k] else np.zeros(0, np.int64))
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["b"], batch["class"], pa.array(total, pa.float64()), pa.array(entered, lists), pa.array(looked, lists)], ["rep", "class", "weight", "entered", "looked"])
+                for c, x in zip(columns, (few.view(np.int64), *rest[:2], full.view(np.int64), *rest[2:]), strict=True):
+                    lists[c].append(x if apart[k] or c.startswith("entered") else x[:0])
+            arrays = [pa.array(lists[c], pa.list_(kind)) for c, kind in columns.items()]
+            yield pa.RecordBatch.from_arrays([batch["b"], batch["class"], pa.array(total, pa.float64()), *arrays], ["rep", "class", "weight", *columns])
 
-    rows = cut(pairs.mapInArrow(differ, "rep long, class long, weight double, entered array<long>, looked array<long>"))
+    columns = {f"{side}{c}": kind for side in ("entered", "looked") for c, kind in (("", pa.int64()), ("_room", pa.float64()), ("_part", pa.float64()))}
+    lists = ", ".join(f"{side} array<long>, {side}_room array<double>, {side}_part array<double>" for side in ("entered", "looked"))
+    rows = cut(pairs.mapInArrow(differ, f"rep long, class long, weight double, {lists}"))
 
     def values_of(batch: pa.RecordBatch) -> np.ndarray:
         return cell(batch["key"].flatten().to_numpy().view(np.uint64))
 
-    entered = rows.select("rep", "class", "weight", F.col("entered").alias("key"))
+    looked, entered = (rows.select("rep", "class", "weight", *(F.col(f"{side}{c}").alias(name) for c, name in (("", "key"), ("_room", "room"), ("_part", "part")))) for side in ("looked", "entered"))
     known = spark.sparkContext.broadcast(_cells(entered, bits, lambda batch: [values_of(batch)], (0,)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = pa.array(_level(known.value, values_of(batch)) > 0)
             row = pc.list_parent_indices(batch["key"]).filter(hit)
-            yield pa.RecordBatch.from_arrays([batch["key"].flatten().filter(hit), *(batch[c].take(row) for c in ("rep", "class", "weight"))], ["key", "rep", "class", "weight"])
+            yield pa.RecordBatch.from_arrays([*(batch[c].flatten().filter(hit) for c in ("key", "room", "part")), *(batch[c].take(row) for c in ("rep", "class", "weight"))], ["key", "room", "part", "rep", "class", "weight"])
 
-    looked = rows.select("rep", "class", "weight", F.col("looked").alias("key"))
-    x, y = (t.mapInArrow(spread, "key long, rep long, class long, weight double") for t in (looked, entered))
+    x, y = (t.mapInArrow(spread, "key long, room double, part double, rep long, class long, weight double") for t in (looked, entered))
     x, y = different_lists(x, y)
-    y = y.toDF("key", "other", "other_class", "other_weight")
+    y = y.select("key", *(F.col(c).alias(f"other_{c}") for c in ("room", "part", "class", "weight")), F.col("rep").alias("other"))
     close = F.least("weight", "other_weight") >= (threshold - 1e-9) * F.greatest("weight", "other_weight")
     close &= (F.col("rep") != F.col("other")) & (F.col("class") != F.col("other_class"))
+    close &= F.least("room", "other_room") >= F.col("part") + F.col("other_part")
     return x.join(y, "key").where(close).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
 def different_lists(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """x and y (key, rep, class, ...) under those keys alone that can make a pair of two classes, and of keys that have the same texts on both sides, as the shingles of one
-    passage have, under one: each makes the same pairs."""
+    """x and y (key, rep, class, ...) under those keys alone that can make a pair of two classes, and of keys that have the same rows on both sides, but for their room, as the shingles of one
+    passage have, under one: each makes the same pairs. Its room, if there is one, is the largest of theirs."""
     sides = cut(x.withColumn("looks", F.lit(True)).unionByName(y.withColumn("looks", F.lit(False))))
-    texts = [F.xxhash64(F.lit(seed), "rep") for seed in (1, 2)]
+    own = [c for c in x.columns if c not in ("key", "room")]
+    texts = [F.xxhash64(F.lit(seed), *own) for seed in (1, 2)]
     lists = [f(F.when(F.col("looks") == side, h)).alias(f"{name}{side}") for side in (True, False) for name, f, h in (("n", F.count, F.lit(1)), ("a", F.bit_xor, texts[0]), ("b", F.bit_xor, texts[1]))]
-    known = sides.groupBy("key").agg(*lists, F.min("class").alias("least"), F.max("class").alias("most")).where("nTrue > 0 and nFalse > 0 and least <> most")
-    kept = cut(known.groupBy(*(f"{name}{side}" for side in (True, False) for name in "nab")).agg(F.min("key").alias("key")).select("key"))
-    sides = sides.join(kept, "key", "left_semi")
+    known = sides.groupBy("key").agg(*lists, F.min("class").alias("least"), F.max("class").alias("most")).where("nTrue > 0 and nFalse > 0 and least <> most").drop("least", "most")
+    same = [f"{name}{side}" for side in (True, False) for name in "nab"]
+    known = cut(known.groupBy(*same).agg(F.min("key").alias("first"), F.collect_list("key").alias("keys")).select("first", F.explode("keys").alias("key")))
+    sides = sides.join(known, "key").groupBy(F.col("first").alias("key"), *own, "looks").agg(F.max("room" if "room" in x.columns else F.lit(0)).alias("room"))
+    sides = cut(sides.select(*x.columns, "looks"))
     return sides.where("looks").drop("looks"), sides.where("not looks").drop("looks")
 
 
